@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from lumenframe.plans import data_quality
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "p5_found"
+for _module in (data_quality,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
