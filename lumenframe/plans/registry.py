@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.plans import data_quality
+from lumenframe.plans import data_quality, snapshot_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "p5_found"
-for _module in (data_quality,):
+for _module in (data_quality, snapshot_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
