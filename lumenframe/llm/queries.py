@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.cooccurrence import associated_pairs
+from lumenframe.llm.lookalikes import alike_pairs, unify
 from lumenframe.tables import table
 
 QUERIES: dict = {}
@@ -50,3 +51,21 @@ ORACLES["p1_found"] = _PAIRS + "SELECT item_a AS item_id_a, item_b AS item_id_b
 ORACLES["p1_scores"] = _PAIRS + """
 SELECT item_a, item_b, n_ab, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift,
        round(CASE WHEN n_ab < n_a THEN (1 - n_b::DOUBLE / n) / (1 - n_ab::DOUBLE / n_a) END, 6) AS conviction FROM pair"""
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "media_items")
+    more = items.select("item_id", F.explode("alternative_titles").alias("name"))
+    return items.select("item_id", F.col("title").alias("name")).unionByName(more)
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = alike_pairs(_names(spark, folder), "item_id", "name")
+    return found.select(F.col("item_a").alias("item_id_a"), F.col("item_b").alias("item_id_b"))
+
+
+@query
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every name of every item with its consistent form."""
+    return unify(_names(spark, folder).distinct(), "name")
