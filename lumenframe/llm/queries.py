@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.cooccurrence import associated_pairs
 from lumenframe.llm.lookalikes import alike_pairs, unify
+from lumenframe.llm.pages import non_prose_shares, stuffed_pages
 from lumenframe.tables import table
 
 QUERIES: dict = {}
@@ -69,3 +70,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every name of every item with its consistent form."""
     return unify(_names(spark, folder).distinct(), "name")
+
+
+@query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = stuffed_pages(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.select(F.col("key").alias("doc_id")).distinct()
+
+
+@query
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shares of link lists, tag lists and lists of facts."""
+    shares = non_prose_shares(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+    return shares.withColumnRenamed("key", "doc_id")
