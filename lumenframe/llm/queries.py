@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.containers import fill_containers
 from lumenframe.llm.cooccurrence import associated_pairs
 from lumenframe.llm.lookalikes import alike_pairs, unify
+from lumenframe.llm.mixing import mix, mixture_report
 from lumenframe.llm.pages import non_prose_shares, stuffed_pages
+from lumenframe.llm.tokens import token_counts
+from lumenframe.storage import materialize
 from lumenframe.tables import table
 
 QUERIES: dict = {}
@@ -83,3 +87,50 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shares of link lists, tag lists and lists of facts."""
     shares = non_prose_shares(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
     return shares.withColumnRenamed("key", "doc_id")
+
+
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), "doc_id", "text", keep=["source"])
+
+
+@query
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The containers of every document, for each kind of container."""
+    kinds = table(spark, folder, "container_sizes").limit(1001).collect()  # a table of kinds, checked to be small
+    if len(kinds) > 1000:
+        raise ValueError("more than 1,000 kinds of container")
+    sized = _sized(spark, folder).select("key", "tokens")
+    placed = fill_containers(sized, {r.container_kind: r.capacity_tokens for r in kinds})
+    return placed.withColumnsRenamed({"kind": "container_kind", "key": "doc_id"})
+
+
+@query
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind of container: how many there are, and how full."""
+    one = p6_containers(spark, folder).groupBy("container_kind", "container").agg(F.max("fill").alias("fill"), F.count(F.lit(1)).alias("texts"))
+    sizes = table(spark, folder, "container_sizes")
+    total = one.groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("fill").alias("tokens"), F.sum("texts").alias("parts"), F.max("fill").alias("fullest")
+    )
+    return total.join(sizes, "container_kind").withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def _targets(spark: SparkSession, folder: str) -> dict[str, tuple[float, int]]:
+    rows = table(spark, folder, "mix_targets").limit(10_001).collect()  # a table of targets, checked to be small
+    if len(rows) > 10_000:
+        raise ValueError("more than 10,000 targets")
+    return {r.source: (r.target_share, r.max_repeats) for r in rows}
+
+
+@query
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    used = mix(_sized(spark, folder), _targets(spark, folder))
+    return used.withColumnRenamed("key", "doc_id")
+
+
+@query
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares and repeats reached for each source."""
+    sized, targets = materialize(_sized(spark, folder), "sized"), _targets(spark, folder)
+    return mixture_report(mix(sized, targets), sized, targets)
