@@ -3,7 +3,7 @@
 Each source gets a number of tokens in proportion to its target share. A text is used the whole number of times that its
 source's rate demands, and the fraction that remains becomes its inclusion probability for one use more. The cube method
 turns these probabilities into yes or no: they move within the null space of the balancing constraints (the source's number
-of texts and of tokens) until only a dozen undecided texts remain; so totals come out as planned and every text keeps its
+of texts and of tokens) until only some undecided texts remain; so totals come out as planned and every text keeps its
 probability. Texts move in blocks of bounded size, by hash within their source; the undecided ones
 of all blocks form the blocks of the next level, until one last block of a source leaves the small landing problem, which is
 solved by trying every rounding. A source that holds most texts is many blocks.
@@ -22,7 +22,7 @@ from lumenframe.storage import materialize
 
 BLOCK = 2000
 #: Undecided texts at which a block's flight ends; all roundings of so many are tried in landing.
-LANDING = 12
+LANDING = 15
 EPSILON = 1e-9
 
 
@@ -77,8 +77,10 @@ def land(chance: list[float], sizes: list[float]) -> list[float]:
 
 def _decide(items: pd.DataFrame) -> pd.DataFrame:
     """Flight of one block; landing where it is its source's only one."""
-    # large texts move first, so that the undecided ones left at the end are small and landing costs few tokens
-    items = items.sort_values(["tokens", "key"], ascending=[False, True]).reset_index(drop=True)
+    # large texts move first; texts of all sizes move last, so that landing can make up for any one left open
+    items = items.sort_values(["tokens", "key"], ascending=[False, True])
+    last = np.unique(np.linspace(0, len(items) - 1, LANDING).astype(int))
+    items = items.iloc[np.concatenate([np.setdiff1d(np.arange(len(items)), last), last])].reset_index(drop=True)
     sizes, block = items["tokens"].astype(float).tolist(), int(items["block"].iloc[0])
     chance = flight(items["chance"].tolist(), sizes, block * 1_000_003 + len(items))
     return items.assign(chance=land(chance, sizes) if items["blocks"].iloc[0] == 1 else chance)
@@ -143,7 +145,7 @@ def mix(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float |
         moved = materialize(dealt.groupBy("source", "block").applyInPandas(_decide, shape), f"flight-{level}")
         yes = moved.filter(F.col("chance") == 1).select("key")
         decided = yes if decided is None else decided.unionByName(yes)
-        # a source of one block has landed; a block of the others leaves a dozen open at most
+        # a source of one block has landed; a block of the others leaves a few open at most
         texts = {s: LANDING * n for s, n in blocks.items() if n > 1}
         if not texts:
             break
