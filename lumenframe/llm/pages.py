@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ ROUNDS = 2
 STAY = 0.8
 #: Words count by their first letters, so that forms, compounds and most misspellings of a word share its bucket.
 STEM = 5
+#: Words remembered by a task with their buckets.
+KNOWN_WORDS = 500_000
 #: Times a word stands in a text from which on it is repeated.
 OFTEN = 4
 #: A text of one piece with fewer words shows no list.
@@ -42,12 +45,16 @@ START_PROSE = 0.9
 BACKGROUND = 0.05
 LINK, TAG, YEAR, NUMBER, PRICE, CODE, SENTENCE, OPEN, CAPITALS, SOME_CAPITALS, LOWER, LABEL, REPEATED, FIRST = range(14)
 
-ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍‎‏⁠﻿­͏︎️"))
+ZERO_WIDTH = re.compile("[\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad\u034f\ufe0e\ufe0f]+")
 PIECE = re.compile(r"(?<=[.!?…])\s+|[\n\r]+")
+PLAIN = r"[^\W_]+(?:['’\-][^\W_]+)*"
 DOMAIN = r"[^\W_][\w\-]*(?:\.[\w\-]+)*(?: ?\[\.\] ?| dot |\.)(?:[a-z]{2,})(?:[/?]\S*)?(?![\w])"
-WORD = re.compile(rf"\w+://\S+|{DOMAIN}|#\w+|[$€£]?\d+[.,]\d\d(?!\.?\d)[$€£]?|-?\d+ ?%|[^\W_]+(?:['’\-][^\W_]+)*")
+#: The full pattern, and the one for pieces that hold no sign of a link, tag or price; both give such pieces the same words.
+WORD = re.compile(rf"\w+://\S+|{DOMAIN}|#\w+|[$€£]?\d+[.,]\d\d(?!\.?\d)[$€£]?|-?\d+ ?%|{PLAIN}")
+SIMPLE = re.compile(PLAIN)
+SPECIAL = re.compile(r"[\w\]][.,]\w|\[\.| dot |[#%$€£]|://")
 NUMERIC = re.compile(r"[$€£]?-?\d[\d.,]* ?[%$€£]?")
-LABELLED = re.compile(r"\w+: \S|\(\w+\)\s*$|^\W*\d+[./]\d+[./]\d+|\s\.\.\.\s|\s(?:-|as|–)\s")
+DATE = re.compile(r"\d+[./]\d+[./]\d+")
 ARTICLE = re.compile(r"[A-Z]{2,}-?\d{3,}")
 LEET = str.maketrans("013457", "oieast")
 
@@ -71,25 +78,32 @@ def token(word: str) -> int:
     return FIRST + crc32(low[:STEM].encode()) % (BUCKETS - FIRST)
 
 
-def segments(text: str, known: dict[str, int]) -> tuple[list[int], list[int], list[float], list[int]]:
+class Known(dict):
+    """Buckets of words met before."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = bucket = token(word)
+        return bucket
+
+
+def segments(text: str, known: Known) -> tuple[list[int], list[int], list[float], list[int]]:
     """Buckets of all segments one after another; per segment their number, its characters and its state by form."""
     buckets, sizes, chars, states = [], [], [], []
-    pieces, seen = [], {}
-    for piece in PIECE.split(text.translate(ZERO_WIDTH)):
-        words = WORD.findall(piece)
+    pieces, seen = [], Counter()
+    for piece in PIECE.split(ZERO_WIDTH.sub("", text)):
+        special = SPECIAL.search(piece) is not None
+        words = (WORD if special else SIMPLE).findall(piece)
         n = len(words)
         if not n:
             continue
-        ids = []
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                i = known[w] = token(w)
-            ids.append(i)
+        ids = [known[w] for w in words]
         end = piece.rstrip()[-1] in ".!?…\"»”"
-        capitals = sum(w[0].isupper() for w in words) / n
-        label = LABELLED.search(piece) is not None
-        links, tags = ids.count(LINK), ids.count(TAG)
+        capitals = len([1 for w in words if w[0].isupper()]) / n
+        label = (
+            ": " in piece or piece[-1] == ")" or " - " in piece or " as " in piece or " ... " in piece
+            or piece[0].isdigit() and DATE.match(piece) is not None
+        )
+        links, tags = (ids.count(LINK), ids.count(TAG)) if special else (0, 0)
         if links and n - links <= 6 * links:
             state = LINKS
         elif 2 * tags >= n:
@@ -104,16 +118,18 @@ def segments(text: str, known: dict[str, int]) -> tuple[list[int], list[int], li
             state = FACTS
         else:
             state = TAGS if n > 2 and capitals < 0.3 else UNKNOWN
-        signs = [SENTENCE if end else OPEN, CAPITALS if capitals >= 0.6 else SOME_CAPITALS if capitals else LOWER] + [LABEL] * label
+        signs = [SENTENCE if end else OPEN, CAPITALS if capitals >= 0.6 else SOME_CAPITALS if capitals else LOWER]
+        if label:
+            signs.append(LABEL)
         pieces.append((ids, signs, len(piece), state))
-        for i in ids:
-            seen[i] = seen.get(i, 0) + 1
+        seen.update(ids)
+    often = {i for i, n in seen.items() if n >= OFTEN}
     for ids, signs, length, state in pieces:
         n = len(ids)
         runs = max(1, round(n / RUN))
         for r in range(runs):
-            part = ids[r * n // runs : (r + 1) * n // runs]
-            again = 2 * sum(seen[i] >= OFTEN for i in part) > len(part)
+            part = ids[r * n // runs : (r + 1) * n // runs] if runs > 1 else ids
+            again = 2 * len([1 for i in part if i in often]) > len(part)
             buckets += part
             buckets += signs
             if again:
@@ -129,15 +145,25 @@ def segments(text: str, known: dict[str, int]) -> tuple[list[int], list[int], li
 def tokenised(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, buckets, sizes, chars, states) of the texts that have a segment."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
-            known: dict[str, int] = {}
-            rows = [segments(x, known) for x in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], **{c: [r[i] for r in rows] for i, c in enumerate(("buckets", "sizes", "chars", "states"))}})
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            flat: list[list] = [[], [], [], []]
+            ends: list[list[int]] = [[0], [0], [0], [0]]
+            for text in batch.column("text").to_pylist():
+                for values, offsets, new in zip(flat, ends, segments(text, known)):
+                    values += new
+                    offsets.append(len(values))
+            columns = [batch.column("key")]
+            for values, offsets, kind in zip(flat, ends, (np.int32, np.int32, np.float32, np.int8)):
+                columns.append(pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.array(values, dtype=kind))))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "buckets", "sizes", "chars", "states"])
 
     given = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     kind = dict(given.dtypes)["key"]
-    made = given.mapInPandas(run, f"key {kind}, buckets array<int>, sizes array<int>, chars array<float>, states array<tinyint>")
+    made = given.mapInArrow(run, f"key {kind}, buckets array<int>, sizes array<int>, chars array<float>, states array<tinyint>")
     return made.filter(F.size("sizes") > 0)
 
 
@@ -178,37 +204,37 @@ class Model:
         return states
 
 
-def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    lengths = batch["sizes"].map(len).to_numpy()
-    return *(np.concatenate(batch[c].to_numpy()) for c in ("buckets", "sizes", "chars")), lengths
+class _Batch:
+    """The flat columns of a batch of tokenised texts."""
 
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        self.buckets, self.sizes, self.chars, self.formed = flat("buckets"), flat("sizes"), flat("chars"), flat("states")
+        self.lengths = np.asarray(batch.column("sizes").value_lengths())
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
 
-def _decoded(batch: pd.DataFrame, model: Model, buckets: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best states; a text too short for a list is prose."""
-    states = model.decode(buckets, sizes, lengths)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    formed = np.concatenate(batch["states"].to_numpy())
-    short = starts[(lengths == 1) & (formed[starts] == UNKNOWN) & (sizes[starts] < LEAST_WORDS + 2)]
-    states[short] = PROSE
-    return states
+    def states(self, model: Model | None) -> np.ndarray:
+        """By form without a model, else decoded; a text too short for a list is prose then."""
+        if model is None:
+            return self.formed
+        states = model.decode(self.buckets, self.sizes, self.lengths)
+        short = (self.lengths == 1) & (self.formed[self.starts] == UNKNOWN) & (self.sizes[self.starts] < LEAST_WORDS + 2)
+        states[self.starts[short]] = PROSE
+        return states
 
 
 def _counts(pages: DataFrame, model: Model | None) -> np.ndarray:
     """Buckets by state, unknown last, over all texts: by form alone without a model, else as decoded."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((STATES + 1) * BUCKETS, dtype=np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            buckets, sizes, _, lengths = _flat(batch)
-            states = np.concatenate(batch["states"].to_numpy()) if model is None else _decoded(batch, model, buckets, sizes, lengths)
-            each = np.repeat(states.astype(np.int64), sizes)
-            total += np.bincount(each * BUCKETS + buckets, minlength=len(total))
+        for batch in map(_Batch, filter(len, batches)):
+            each = np.repeat(batch.states(model).astype(np.int64), batch.sizes)
+            total += np.bincount(each * BUCKETS + batch.buckets, minlength=len(total))
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    rows = pages.mapInPandas(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most states x buckets
+    rows = pages.drop("key").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most states x buckets
     counts = np.zeros((STATES + 1) * BUCKETS)
     counts[rows["at"].to_numpy(dtype=np.int64)] = rows["n"]
     return counts.reshape(STATES + 1, BUCKETS)
@@ -224,18 +250,17 @@ def non_prose_shares(texts: DataFrame, key: str, text: str, rounds: int = ROUNDS
     for _ in range(rounds):
         model = Model(_counts(pages, model))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            buckets, sizes, chars, lengths = _flat(batch)
-            states = _decoded(batch, model, buckets, sizes, lengths)
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            share = lambda s: np.add.reduceat(np.where(states == s, chars, 0).astype(float), starts) / np.add.reduceat(chars.astype(float), starts)
-            yield pd.DataFrame({"key": batch["key"].to_numpy(), "links": share(LINKS), "tags": share(TAGS), "facts": share(FACTS), "segments": lengths})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in filter(len, batches):
+            batch = _Batch(given)
+            states = batch.states(model)
+            whole = np.add.reduceat(batch.chars.astype(float), batch.starts)
+            shares = [np.add.reduceat(np.where(states == s, batch.chars, 0).astype(float), batch.starts) / whole for s in (LINKS, TAGS, FACTS)]
+            columns = [given.column("key"), *map(pa.array, shares), pa.array(batch.lengths.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "links", "tags", "facts", "segments"])
 
     kind = dict(pages.dtypes)["key"]
-    return pages.mapInPandas(run, f"key {kind}, links double, tags double, facts double, segments bigint")
+    return pages.mapInArrow(run, f"key {kind}, links double, tags double, facts double, segments bigint")
 
 
 def stuffed_pages(texts: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
