@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.containers import fill_containers
 from lumenframe.llm.cooccurrence import associated_pairs
 from lumenframe.llm.lookalikes import alike_pairs, unify
+from lumenframe.llm.matching import match
 from lumenframe.llm.mixing import mix, mixture_report
 from lumenframe.llm.pages import non_prose_shares, stuffed_pages
 from lumenframe.llm.tokens import token_counts
@@ -134,3 +135,27 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The shares and repeats reached for each source."""
     sized, targets = materialize(_sized(spark, folder), "sized"), _targets(spark, folder)
     return mixture_report(mix(sized, targets), sized, targets)
+
+
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    entries = table(spark, folder, "anime_entries").select(
+        F.col("anilist_id").alias("id"), F.col("english_title").alias("english"), F.col("title").alias("romanised"),
+        F.col("native_title").alias("native"), "year", F.col("format").alias("kind"), "episodes", "minutes",
+    )
+    items = table(spark, folder, "media_items").select(
+        F.col("imdb_id").alias("id"), F.concat(F.array("title"), F.coalesce("alternative_titles", F.array().cast("array<string>"))).alias("names"),
+        "year", "kind", F.col("episode_count").alias("episodes"), F.col("runtime_minutes").alias("minutes"), "genres",
+    )
+    return match(entries, items)
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _matches(spark, folder).select(F.col("entry").alias("anilist_id"), F.col("item").alias("imdb_id"))
+
+
+@query
+def p4_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The matches with their posteriors."""
+    found = _matches(spark, folder)
+    return found.select(F.col("entry").alias("anilist_id"), F.col("item").alias("imdb_id"), F.round("confidence", 6).alias("confidence"))
