@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.plans import catalogue, data_quality, snapshot_queries
+from lumenframe.plans import catalogue, data_quality, search_queries, snapshot_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "p5_found"
-for _module in (data_quality, snapshot_queries, catalogue):
+for _module in (data_quality, snapshot_queries, catalogue, search_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
