@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.plans import catalogue, data_quality, search_queries, snapshot_queries, taste_queries
+from lumenframe.plans import activity_queries, catalogue, data_quality, search_queries, snapshot_queries, taste_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "p5_found"
-for _module in (data_quality, snapshot_queries, catalogue, search_queries, taste_queries):
+for _module in (data_quality, snapshot_queries, catalogue, search_queries, taste_queries, activity_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
