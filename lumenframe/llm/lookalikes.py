@@ -25,8 +25,8 @@ from lumenframe.storage import materialize
 
 #: Letters of one shape, the first by which the shape is named. Fixed values.
 SHAPES = """
-a а|c с ϲ|d ԁ|e е|h һ հ|i і|j ј ϳ յ|l ӏ|n ո|o о ο օ|p р|q ԛ զ|s ѕ|u ս|v ѵ ν|w ԝ|x х|y у|g ց
-A А Α|B В Β|C С Ϲ|E Е Ε|H Н Η|I І Ι Ӏ|J Ј Ϳ|K К Κ|M М Μ|N Ν|O О Ο Օ|P Р Ρ|Q Ԛ|S Ѕ|T Т Τ|U Ս|V Ѵ|W Ԝ|X Х Χ|Y Ү Υ|Z Ζ
+a а|c с|d ԁ|e е|h һ հ|i і|j ј ϳ յ|l ӏ|n ո|o о ο օ|p р|q ԛ զ|s ѕ|u ս|v ѵ ν|w ԝ|x х|y у|g ց
+A А Α|B В Β|C С|E Е Ε|H Н Η|I І Ι Ӏ|J Ј Ϳ|K К Κ|M М Μ|N Ν|O О Ο Օ|P Р Ρ|Q Ԛ|S Ѕ|T Т Τ|U Ս|V Ѵ|W Ԝ|X Х Χ|Y Ү Υ|Z Ζ
 Г Γ|П Π|Ф Φ
 ヘ へ|ロ 口|ニ 二|タ 夕|カ 力|エ 工|ハ 八|ト 卜|オ 才|ー 一
 """
@@ -38,6 +38,8 @@ for _line in SHAPES.split("\n"):
         MEMBERS[_letters[0]] = "".join(_letters)
         SHAPE_OF |= dict.fromkeys(_letters, _letters[0])
 
+#: Look-alikes that compatibility normalisation would turn into letters of another look, replaced before it.
+BEFORE = {0x3F2: "c", 0x3F9: "C"}
 HYPHENS = "‐‑﹣－"
 #: What draws nothing: default-ignorable code points and control characters other than white space.
 INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\p{Cc}--[\t\n\v\f\r\x1c-\x1f\x85]]", regex.V1)
@@ -48,13 +50,13 @@ SCRIPT = {s: regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Cyrillic", "Greek"
 FAMILY = {"Katakana": "Japanese", "Hiragana": "Japanese", "Han": "Japanese"}
 VOICED = "\u3099\u309a"
 #: Charge, in logarithms, for a change of script within a token and from one token to the next.
-CHANGE, NEXT = -25.0, -4.0
+CHANGE, NEXT = -25.0, -12.0
 START = "^"
 
 
 def fold(text: str) -> str:
     """Compatibility-normalised, decomposed text without what draws nothing; one blank between words, none at the ends."""
-    text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
+    text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text).translate(BEFORE))
     text = INVISIBLE.sub("", text).translate({ord(h): "-" for h in HYPHENS})
     return unicodedata.normalize("NFD", BLANKS.sub(" ", text).strip(" "))
 
