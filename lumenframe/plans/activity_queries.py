@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.filenames import parse_filename
 from lumenframe.operators import folds, timeseries
 from lumenframe.operators import selection as S
 from lumenframe.plans.base import EVENTS_SQL, TITLES_SQL, Registry, events, titles
+from lumenframe.storage import shared_dir
+from lumenframe.streaming import streams
 from lumenframe.tables import table
 
 _r = Registry()
@@ -209,4 +214,23 @@ def quota(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).select("event_id", "user_id", (n <= 2).alias("granted"))
 
 
+@query("op_x04_filename", """SELECT DISTINCT item_id, title, year, 1080 AS resolution, 'webdl' AS source, 'h264' AS codec FROM media_items
+  WHERE regexp_full_match(title, '[A-Z][a-z]+ [A-Z][a-z]+') AND year IS NOT NULL""")
+def filenames(spark: SparkSession, folder: str) -> DataFrame:
+    """Release names made of plain titles, read back."""
+    plain = table(spark, folder, "media_items").select("item_id", "title", "year").distinct().filter(F.col("title").rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+\z") & F.col("year").isNotNull())
+    name = F.concat(F.replace("title", F.lit(" "), F.lit(".")), F.lit("."), F.col("year").cast("string"), F.lit(".1080p.WEB-DL.x264-CREW.mkv"))
+    return plain.select("item_id", parse_filename(name).alias("f")).select("item_id", "f.title", "f.year", "f.resolution", "f.source", "f.codec")
+
+
+@query("op_st10_stream_inserts", "SELECT DISTINCT event_id, user_id, event_type FROM events")
+def stream_inserts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events inserted once by a resumable stream that runs until its input ends."""
+    like = table(spark, folder, "events")
+    out = f"{shared_dir(spark)}/inserts-{uuid.uuid4().hex}"
+    stream = streams.file_stream(spark, f"{folder}/[e]vents.parquet", like).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    streams.run_to_end(streams.inserted_once(stream, ["event_id"], "ts", "60 days"), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").select("event_id", "user_id", "event_type")
+
+
 QUERIES, ORACLES = _r.queries, _r.oracles

@@ -80,6 +80,9 @@ def candidate_records(lines: DataFrame) -> DataFrame:
     return lines.filter((F.col("line_no") != 1) & (F.trim(record_body(F.col("fields"))) != ""))
 
 
+RULE = ["dataset", "column_no", "value_type", "nullable", "min_value", "max_value"]
+
+
 def _parsed(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """file_name, line_no, dataset, cells, structure fault or null. Columns beyond the four needed are dropped."""
     wanted = lines.select("file_name", "line_no", "dataset", "fields")
@@ -105,7 +108,7 @@ def faulty_records(lines: DataFrame, rules: DataFrame) -> DataFrame:
     cells = parsed.filter(F.col("fault").isNull()).select(
         "file_name", "line_no", "dataset", F.posexplode("cells").alias("at", "value")
     )
-    checked = cells.withColumn("column_no", F.col("at") + 1).join(rules, ["dataset", "column_no"])
+    checked = cells.withColumn("column_no", F.col("at") + 1).join(rules.select(*RULE, "column_name"), ["dataset", "column_no"])
     wrong = checked.filter(_cell_fault(F.col("value"), F.col("dataset").startswith("movielens.")))
     faults = structural.unionByName(wrong.select("file_name", "line_no", F.lit(VALUE).alias("reason"), "column_name"))
     order = F.when(F.col("reason") == QUOTING, 1).when(F.col("reason") == COLUMN_COUNT, 2).otherwise(3)

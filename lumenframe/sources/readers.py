@@ -68,7 +68,7 @@ def subtitle_cues(files: DataFrame, key: str, text: str) -> DataFrame:
     time = r"((?:\d+:)?\d+:\d+[.,]\d+)\s*-->\s*((?:\d+:)?\d+:\d+[.,]\d+)"
     read = blocks.filter(F.col("block").rlike(time)).select(
         key, "n", _milliseconds(F.regexp_extract("block", time, 1)).alias("start_ms"), _milliseconds(F.regexp_extract("block", time, 2)).alias("end_ms"),
-        F.trim(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1)).alias("words"),
+        F.regexp_replace(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)\z", 1), r"^\s+|\s+\z", "").alias("words"),
     )
     return read.filter("start_ms is not null and end_ms is not null")
 

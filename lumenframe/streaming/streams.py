@@ -17,7 +17,7 @@ from lumenframe.tables import ship_package
 
 
 def file_stream(spark: SparkSession, folder: str, like: DataFrame, files_at_once: int = 1) -> DataFrame:
-    """A stream of the Parquet files that arrive in a folder, with the schema of `like`."""
+    """A stream of the Parquet files that arrive in a folder (or match a pattern, for a single file), with the schema of `like`."""
     ship_package(spark)
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
