@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,18 +98,27 @@ def diversified(scores: np.ndarray, vectors: np.ndarray, groups: dict[str, np.nd
 def rail(candidates: DataFrame, n: int, caps: dict[str, int]) -> DataFrame:
     """(profile, item, place): diversified() for every profile; candidates: profile, item, score, vector and the capped columns.
 
-    A profile's candidates are a bounded pool (the candidate step cuts it), so a group fits a task.
+    A profile's candidates are a bounded pool (the candidate step cuts it), so they make one row; rows run in batches.
     """
     kinds = dict(candidates.dtypes)
-
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["score", "item"], ascending=[False, True]).reset_index(drop=True)
-        m = np.stack(pool["vector"].map(np.asarray).to_numpy()).astype(float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        chosen = diversified(pool["score"].to_numpy(dtype=float), m, {g: pool[g].to_numpy(dtype=object) for g in caps}, caps, n)
-        return pd.DataFrame({"profile": pool["profile"].iloc[0], "item": pool["item"].iloc[chosen], "place": range(1, len(chosen) + 1)})
-
-    return candidates.groupBy("profile").applyInPandas(run, f"profile {kinds['profile']}, item {kinds['item']}, place int")
+    one = F.struct((-F.col("score")).alias("low"), "item", "vector", *caps)
+    pools = candidates.groupBy("profile").agg(F.sort_array(F.collect_list(one)).alias("pool"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            profiles, items, places = [], [], []
+            for profile, pool in zip(batch.column("profile").to_pylist(), batch.column("pool").to_pylist()):
+                m = np.array([x["vector"] for x in pool], dtype=float)
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                groups = {g: np.array([x[g] for x in pool], dtype=object) for g in caps}
+                chosen = diversified(np.array([-x["low"] for x in pool]), m, groups, caps, n)
+                profiles += [profile] * len(chosen)
+                items += [pool[i]["item"] for i in chosen]
+                places += range(1, len(chosen) + 1)
+            types = [batch.schema.field("profile").type, batch.schema.field("pool").type.value_type.field("item").type, pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((profiles, items, places), types)], ["profile", "item", "place"])
+
+    return pools.mapInArrow(run, f"profile {kinds['profile']}, item {kinds['item']}, place int")
 
 
 def beliefs(outcomes: DataFrame) -> DataFrame:
