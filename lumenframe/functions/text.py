@@ -19,7 +19,7 @@ def fold_accents(text: Column) -> Column:
     """Text without combining marks, in any script."""
 
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else x if x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
+        return values.map(lambda x: None if x is None else x if x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c)[0] != "M"))
 
     return F.pandas_udf(run, "string")(text)
 

@@ -85,10 +85,10 @@ def tiered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("op_k01_normalise", """SELECT DISTINCT item_id, title, trim(regexp_replace(lower(strip_accents(title)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS normal FROM media_items
-  WHERE regexp_full_match(title, '[\\x20-\\x7Eàáâäçèéêëíîïñóôöùúûüýşťčž]*')""".replace("\\\\", "\\"))
+""")
 def normalise(spark: SparkSession, folder: str) -> DataFrame:
-    """Normal form of names in plain or accented Latin letters (the twin folds no others alike)."""
-    own = table(spark, folder, "media_items").select("item_id", "title").distinct().filter(F.col("title").rlike(r"^[\x20-\x7Eàáâäçèéêëíîïñóôöùúûüýşťčž]*\z"))
+    """Normal form of every name."""
+    own = table(spark, folder, "media_items").select("item_id", "title").distinct()
     return own.withColumn("normal", T.normalise_title(F.col("title")))
 
 
@@ -104,9 +104,9 @@ def title_dice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("op_k14_comparable", """SELECT DISTINCT item_id, trim(regexp_replace(regexp_replace(replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '&', ' and '), '[''’]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS form
-  FROM media_items WHERE regexp_full_match(title, '[\\x20-\\x7Eàáâäçèéêëíîïñóôöùúûüý]*')""")
+  FROM media_items""")
 def comparable(spark: SparkSession, folder: str) -> DataFrame:
-    own = table(spark, folder, "media_items").select("item_id", "title").distinct().filter(F.col("title").rlike(r"^[\x20-\x7Eàáâäçèéêëíîïñóôöùúûüý]*\z"))
+    own = table(spark, folder, "media_items").select("item_id", "title").distinct()
     return own.select("item_id", T.comparable(F.col("title")).alias("form"))
 
 
@@ -121,20 +121,19 @@ def season_split(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("anilist_id", T.season_split(F.col("english_title")).alias("s")).select("anilist_id", "s.base", "s.season")
 
 
-@query("op_k17_franchise", """WITH h AS (SELECT DISTINCT item_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(title), '(?::| - ).*$', ''), ' '), '^the ', ''), ' (?:\\d+|ii|iii|iv|v)$', '') AS b FROM media_items
-    WHERE regexp_full_match(title, '[\\x20-\\x7E]*'))
+@query("op_k17_franchise", """WITH h AS (SELECT DISTINCT item_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(title), '(?::| - ).*$', ''), ' '), '^the ', ''), ' (?:\\d+|ii|iii|iv|v)$', '') AS b FROM media_items)
   SELECT item_id, array_to_string(regexp_split_to_array(trim(b, ' '), '\\s+')[1:2], ' ') AS franchise FROM h""")
 def franchise(spark: SparkSession, folder: str) -> DataFrame:
-    """Franchise keys of names in plain letters."""
-    own = table(spark, folder, "media_items").select("item_id", "title").distinct().filter(F.col("title").rlike(r"^[\x20-\x7E]*\z"))
+    """Franchise keys of all names."""
+    own = table(spark, folder, "media_items").select("item_id", "title").distinct()
     return own.select("item_id", T.franchise_key(F.col("title")).alias("franchise"))
 
 
-@query("op_k11_excerpt", """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL AND source = 'trivia')
+@query("op_k11_excerpt", """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL)
   SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE regexp_replace(substr(t, 1, 220), '[ \\t\\n\\x0B\\f\\r][^ \\t\\n\\x0B\\f\\r]*$', '') || '…' END AS excerpt FROM f""")
 def excerpts(spark: SparkSession, folder: str) -> DataFrame:
-    """Excerpts of one source's texts."""
-    own = table(spark, folder, "documents").filter("source = 'trivia' and text is not null")
+    """The beginning of every text."""
+    own = table(spark, folder, "documents").filter("text is not null")
     return own.select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
