@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.sources.delimited import clean_records, faulty_records
+from lumenframe.sources.delimited import clean_records, faulty_records, typed_cells
 from lumenframe.tables import table
 
 
@@ -19,6 +19,11 @@ def p5_ratings(spark: SparkSession, folder: str) -> DataFrame:
     return clean_records(table(spark, folder, "raw_lines"), table(spark, folder, "raw_schemas"), "title.ratings", columns)
 
 
+def p5_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """The good records of every dataset of raw_schemas, a row for each cell, typed as its column."""
+    return typed_cells(table(spark, folder, "raw_lines"), table(spark, folder, "raw_schemas"))
+
+
 _JUDGED = r"""
 WITH body AS (
   SELECT DISTINCT file_name, line_no, dataset, rtrim(fields, chr(13) || chr(10)) AS b, dataset LIKE 'movielens.%' AS csv
@@ -50,5 +55,11 @@ ORACLES = {
     "p5_ratings": _JUDGED
     + """SELECT DISTINCT file_name, line_no, c[1] AS tconst, CAST(c[2] AS DOUBLE) AS average_rating, CAST(c[3] AS BIGINT) AS num_votes
          FROM shape ANTI JOIN wrong USING (file_name, line_no) WHERE dataset = 'title.ratings' AND fault IS NULL""",
+    "p5_typed": _JUDGED
+    + r""", good AS (SELECT DISTINCT file_name, line_no, dataset, column_no, column_name, value_type, CASE WHEN v = '' OR (NOT csv AND v = '\N') THEN NULL ELSE v END AS v
+           FROM cell ANTI JOIN wrong USING (file_name, line_no))
+         SELECT file_name, line_no, dataset, column_no, column_name, value_type, CASE WHEN value_type IN ('id', 'text') THEN v END AS text_value,
+           CASE WHEN value_type = 'int' THEN TRY_CAST(v AS BIGINT) END AS int_value, CASE WHEN value_type = 'decimal' THEN TRY_CAST(v AS DOUBLE) END AS decimal_value,
+           CASE WHEN value_type = 'flag' THEN v = '1' END AS flag_value FROM good""",
 }
-QUERIES = {"p5_found": p5_found, "p5_ratings": p5_ratings}
+QUERIES = {"p5_found": p5_found, "p5_ratings": p5_ratings, "p5_typed": p5_typed}

@@ -136,3 +136,26 @@ def clean_records(lines: DataFrame, rules: DataFrame, dataset: str, columns: lis
     good = parsed.select(F.col("file_name").alias("_file"), F.col("line_no").alias("_line"), *values).distinct()
     rest = good.join(bad, F.col("_file").eqNullSafe(F.col("file_name")) & F.col("_line").eqNullSafe(F.col("line_no")), "left_anti")
     return rest.withColumnsRenamed({"_file": "file_name", "_line": "line_no"})
+
+
+def typed_cells(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """The cells of the good records of every dataset with rules, one row each, under the type of its column.
+
+    file_name, line_no, dataset, column_no, column_name, value_type, and text_value (ids and texts), int_value,
+    decimal_value, flag_value, of which the column's own type is filled unless the cell is null. The records are those left
+    after an anti join with the faulty ones; repeated rows count once.
+    """
+    parsed = _parsed(lines, rules).filter(F.col("fault").isNull())
+    good = parsed.select(F.col("file_name").alias("_file"), F.col("line_no").alias("_line"), "dataset", "cells").distinct()
+    bad = faulty_records(lines, rules).select("file_name", "line_no")
+    rest = good.join(bad, F.col("_file").eqNullSafe(F.col("file_name")) & F.col("_line").eqNullSafe(F.col("line_no")), "left_anti")
+    cells = rest.select(F.col("_file").alias("file_name"), F.col("_line").alias("line_no"), "dataset", F.posexplode("cells").alias("at", "cell"))
+    kinds = rules.select("dataset", "column_no", "column_name", "value_type")
+    own = cells.withColumn("column_no", F.col("at") + 1).join(kinds, ["dataset", "column_no"])
+    null = (F.col("cell") == "") | (~F.col("dataset").startswith("movielens.") & (F.col("cell") == r"\N"))
+    value, kind = F.when(~null, F.col("cell")), F.col("value_type")
+    return own.select(
+        "file_name", "line_no", "dataset", "column_no", "column_name", "value_type",
+        F.when(kind.isin("id", "text"), value).alias("text_value"), F.when(kind == "int", value.try_cast(TYPES["int"])).alias("int_value"),
+        F.when(kind == "decimal", value.try_cast(TYPES["decimal"])).alias("decimal_value"), F.when(kind == "flag", value == "1").alias("flag_value"),
+    )
