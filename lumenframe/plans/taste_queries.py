@@ -264,13 +264,15 @@ def _ranked_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return C.recommend(train, materialize(C.item_neighbours(liked), "edges"), 20), liked.filter(held).select("user", "item"), train
 
 
-@query("op_m01_ranking_metrics", _SPLIT + """, h AS (SELECT t."user", rank FROM test t LEFT JOIN top USING ("user", item)),
+_METRICS_SQL = """, h AS (SELECT t."user", rank FROM test t LEFT JOIN top USING ("user", item)),
   u AS (SELECT "user", count(*) AS n, count(rank) AS hit, sum(1 / log2(rank + 1)) AS dcg, max(1.0::DOUBLE / rank) AS rr FROM h GROUP BY 1),
   i AS (SELECT *, (SELECT sum(1 / log2(k + 1)) FROM range(1, 21) x(k) WHERE k <= n) AS ideal FROM u)
-  SELECT count(*) AS users, round(avg(hit / least(n, 20)), 6) AS recall, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg, round(avg(coalesce(rr, 0)), 6) AS mrr FROM i""")
-def ranking_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall, nDCG and mean reciprocal rank at 20 over all users with held-out likes."""
-    top, test, _ = _ranked_split(spark, folder)
+  SELECT count(*) AS users, round(avg(hit / least(n, 20)), 6) AS recall, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg, round(avg(coalesce(rr, 0)), 6) AS mrr FROM i"""
+_NOVELTY_SQL = """, pop AS (SELECT item, count(*)::DOUBLE / (SELECT count(DISTINCT "user") FROM train) AS p FROM train GROUP BY 1)
+  SELECT count(DISTINCT item) AS items, round(avg(-log2(p)), 6) AS novelty FROM top JOIN pop USING (item)"""
+
+
+def _metrics(top: DataFrame, test: DataFrame) -> DataFrame:
     hits = test.join(top.select("user", "item", "rank"), ["user", "item"], "left")
     gain = lambda r: 1 / F.log2(r + 1)
     each = hits.groupBy("user").agg(
@@ -283,14 +285,57 @@ def ranking_metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op_m02_novelty_coverage", _SPLIT + """, pop AS (SELECT item, count(*)::DOUBLE / (SELECT count(DISTINCT "user") FROM train) AS p FROM train GROUP BY 1)
-  SELECT count(DISTINCT item) AS items, round(avg(-log2(p)), 6) AS novelty FROM top JOIN pop USING (item)""")
-def novelty(spark: SparkSession, folder: str) -> DataFrame:
-    """How many items are recommended at all, and their mean surprise in bits."""
-    top, _, train = _ranked_split(spark, folder)
+def _novelty(top: DataFrame, train: DataFrame) -> DataFrame:
     users = train.select("user").distinct().agg(F.count(F.lit(1)).alias("users"))
     pop = train.groupBy("item").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(users)).select("item", (F.col("n") / F.col("users")).alias("p"))
     return top.join(pop, "item").agg(F.countDistinct("item").alias("items"), F.round(F.avg(-F.log2("p")), 6).alias("novelty"))
 
 
+@query("op_m01_ranking_metrics", _SPLIT + _METRICS_SQL)
+def ranking_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall, nDCG and mean reciprocal rank at 20 over all users with held-out likes."""
+    top, test, _ = _ranked_split(spark, folder)
+    return _metrics(top, test)
+
+
+@query("op_m02_novelty_coverage", _SPLIT + _NOVELTY_SQL)
+def novelty(spark: SparkSession, folder: str) -> DataFrame:
+    """How many items are recommended at all, and their mean surprise in bits."""
+    top, _, train = _ranked_split(spark, folder)
+    return _novelty(top, train)
+
+
+_HELD_OUT = _LIKED + """, test AS (SELECT "user", item FROM liked WHERE ("user" + item) % 5 = 0),
+ tl AS (SELECT DISTINCT "user", item FROM rating WHERE stars >= 4 AND ("user" + item) % 5 <> 0), tk AS (SELECT item FROM tl GROUP BY 1 HAVING count(*) >= 5), ts AS (SELECT * FROM tl SEMI JOIN tk USING (item)),
+ train AS (SELECT "user", item, 1 / ln(exp(1.0::DOUBLE) + count(*) OVER (PARTITION BY "user")) AS w FROM ts),
+ tt AS (SELECT a.item AS i, b.item AS j, sum(a.w) AS t FROM train a JOIN train b ON a."user" = b."user" AND a.item <> b.item GROUP BY 1, 2), tm AS (SELECT item, sum(w) AS m FROM train GROUP BY 1),
+ tsc AS (SELECT i AS item, j AS neighbour, round(t / (pow(x.m, 1 - 0.65::DOUBLE) * pow(y.m, 0.65::DOUBLE)), 6) AS score FROM tt JOIN tm x ON x.item = i JOIN tm y ON y.item = j),
+ tedge AS (SELECT item, neighbour, score FROM tsc QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, neighbour) <= 50),
+ f AS (SELECT "user", neighbour AS item, round(sum(score), 6) AS score FROM train JOIN tedge USING (item) GROUP BY 1, 2),
+ top AS (SELECT "user", item, CAST(row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS INT) AS rank FROM f ANTI JOIN train USING ("user", item) QUALIFY rank <= 20)
+"""
+
+
+def _held_out_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recommendations from four fifths of the likes, of which weights, support and item graph are made too, and the held-out fifth."""
+    rated = ratings(spark, folder)
+    held = (F.col("user") + F.col("item")) % 5 == 0
+    train = materialize(C.likes(rated.filter(~held)), "train")
+    return C.recommend(train, materialize(C.item_neighbours(train), "edges"), 20), C.likes(rated).filter(held).select("user", "item"), train
+
+
+@query("op_m01_held_out_metrics", _HELD_OUT + _METRICS_SQL)
+def held_out_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """ranking_metrics() where nothing of the held-out likes has gone into the item graph."""
+    top, test, _ = _held_out_split(spark, folder)
+    return _metrics(top, test)
+
+
+@query("op_m02_held_out_coverage", _HELD_OUT + _NOVELTY_SQL)
+def held_out_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """novelty() where nothing of the held-out likes has gone into the item graph."""
+    top, _, train = _held_out_split(spark, folder)
+    return _novelty(top, train)
+
+
 QUERIES, ORACLES = _r.queries, _r.oracles
