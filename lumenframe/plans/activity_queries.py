@@ -87,6 +87,18 @@ def refresh(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("imdb_id", "votes", F.when(moved, F.col("old")).alias("previous_votes"), state.alias("state"))
 
 
+@query("op_st09_refresh_all", """WITH o AS (SELECT imdb_id, votes AS votes FROM title_snapshots WHERE imdb_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY imdb_id ORDER BY loaded_at DESC NULLS LAST, votes DESC NULLS LAST) = 1), n AS (SELECT DISTINCT imdb_id, votes FROM media_items)
+  SELECT n.imdb_id, n.votes, CASE WHEN o.votes IS DISTINCT FROM n.votes AND o.imdb_id IS NOT NULL THEN o.votes END AS previous_votes, CASE WHEN o.imdb_id IS NULL THEN 'new' WHEN o.votes IS DISTINCT FROM n.votes THEN 'moved' ELSE 'same' END AS state
+  FROM n LEFT JOIN o USING (imdb_id)""")
+def refresh_all(spark: SparkSession, folder: str) -> DataFrame:
+    """refresh() against what any mirror was known to hold: the row loaded last in all dumps of all mirrors."""
+    old = table(spark, folder, "title_snapshots").filter("imdb_id is not null").groupBy("imdb_id").agg(F.max(F.struct("loaded_at", "votes")).alias("old"))
+    both = table(spark, folder, "media_items").select("imdb_id", "votes").distinct().join(old, "imdb_id", "left")
+    moved = F.col("old").isNotNull() & ~F.col("old.votes").eqNullSafe(F.col("votes"))
+    state = F.when(F.col("old").isNull(), "new").when(moved, "moved").otherwise("same")
+    return both.select("imdb_id", "votes", F.when(moved, F.col("old.votes")).alias("previous_votes"), state.alias("state"))
+
+
 @query("op_j09_temporal", _EV + """SELECT r.rec_id, min(e.event_id) AS event_id FROM (SELECT DISTINCT rec_id, profile_id, item_id, shown_at FROM recommendations) r JOIN ev e
   ON e.user_id = r.profile_id AND e.item = r.item_id % 100 AND e.ts >= r.shown_at AND e.ts < r.shown_at + INTERVAL 30 DAY GROUP BY 1""")
 def temporal(spark: SparkSession, folder: str) -> DataFrame:
