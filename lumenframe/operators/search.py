@@ -46,14 +46,19 @@ def trigrams(text: Column) -> Column:
     return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
-def trigram_matches(names: DataFrame, key: str, name: str, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
-    """(query, key, score, rank): names sharing trigrams with a query, by Jaccard; queries under four letters find nothing."""
+def trigram_scores(names: DataFrame, key: str, name: str, queries: DataFrame, query: str, text: str) -> DataFrame:
+    """(query, key, score): all names sharing trigrams with a query, by Jaccard; queries under four letters find nothing."""
     asked = queries.filter(F.length(text) >= 4).select(F.col(query).alias("query"), trigrams(F.col(text)).alias("g"))
     asked = asked.select("query", F.size("g").alias("na"), F.explode("g").alias("gram"))
     own = names.select(key, trigrams(F.col(name)).alias("g")).select(key, F.size("g").alias("nb"), F.explode("g").alias("gram"))
     both = asked.join(own, "gram").groupBy("query", key, "na", "nb").agg(F.count(F.lit(1)).alias("common"))
     score = F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6)
-    return top_per_key(both.select("query", key, score.alias("score")), ["query"], [F.col("score").desc(), F.col(key)], k)
+    return both.select("query", key, score.alias("score"))
+
+
+def trigram_matches(names: DataFrame, key: str, name: str, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
+    """(query, key, score, rank): the best of trigram_scores()."""
+    return top_per_key(trigram_scores(names, key, name, queries, query, text), ["query"], [F.col("score").desc(), F.col(key)], k)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], key: str, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import text as T
 from lumenframe.operators import search as S
+from lumenframe.operators.relational import top_per_key
 from lumenframe.plans.base import TITLES_SQL, Registry, titles
 from lumenframe.tables import table
 
@@ -84,6 +85,52 @@ def tiered(spark: SparkSession, folder: str) -> DataFrame:
     return S.tiers([exact, _keyword(spark, folder), _fuzzy(spark, folder)], "item_id", 10)
 
 
+def _all_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, name): titles and alternative titles."""
+    items = table(spark, folder, "media_items")
+    more = items.select("item_id", F.explode("alternative_titles").alias("name"))
+    return items.select("item_id", F.col("title").alias("name")).unionByName(more).filter("name is not null").distinct()
+
+
+def _keyword_all(spark: SparkSession, folder: str) -> DataFrame:
+    more = F.array_join("alternative_titles", " ").alias("alternative")
+    names = table(spark, folder, "media_items").select("item_id", "title", "genres", more).distinct()
+    posts = S.postings(names, "item_id", {"title": 10, "alternative": 6, "genres": 1})
+    return S.bm25(posts, "item_id", _asked(spark, folder), "query", "q", 50)
+
+
+def _fuzzy_all(spark: SparkSession, folder: str) -> DataFrame:
+    names = _all_names(spark, folder).withColumn("own", F.struct("item_id", "name"))
+    scores = S.trigram_scores(names, "own", "name", _asked(spark, folder), "query", "q")
+    best = scores.groupBy("query", F.col("own.item_id").alias("item_id")).agg(F.max("score").alias("score"))
+    return top_per_key(best, ["query"], [F.col("score").desc(), F.col("item_id")], 50)
+
+
+@query("op_k03_bm25_all_names")
+def bm25_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    """bm25() with alternative titles as a field of weight 6."""
+    return _keyword_all(spark, folder)
+
+
+@query("op_k04_trigram_all_names")
+def trigram_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    """trigram() by the best of an item's names."""
+    return _fuzzy_all(spark, folder)
+
+
+@query("op_k06_fusion_all_names")
+def fusion_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    return S.reciprocal_rank_fusion([_keyword_all(spark, folder), _fuzzy_all(spark, folder)], "item_id", 10)
+
+
+@query("op_k05_tiers_all_names")
+def tiered_all_names(spark: SparkSession, folder: str) -> DataFrame:
+    """tiered() over titles and alternative titles."""
+    exact = _asked(spark, folder).join(_all_names(spark, folder), F.lower("q") == F.lower("name")).select("query", "item_id").distinct()
+    exact = exact.select("query", "item_id", F.row_number().over(Window.partitionBy("query").orderBy("item_id")).alias("rank"))
+    return S.tiers([exact, _keyword_all(spark, folder), _fuzzy_all(spark, folder)], "item_id", 10)
+
+
 @query("op_k01_normalise", """SELECT DISTINCT item_id, title, trim(regexp_replace(lower(strip_accents(title)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS normal FROM media_items
 """)
 def normalise(spark: SparkSession, folder: str) -> DataFrame:
