@@ -85,7 +85,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's shares of link lists, tag lists and lists of facts."""
+    """Every document's shares of link lists, tag lists, menus and lists of facts."""
     shares = non_prose_shares(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
     return shares.withColumnRenamed("key", "doc_id")
 
