@@ -11,6 +11,7 @@ don't, never do. Letter case, accents, punctuation and digits are kept.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -29,13 +30,15 @@ a а|c с|d ԁ|e е|h һ հ|i і|j ј ϳ յ|l ӏ|n ո|o о ο օ|p р|q ԛ զ|s
 A А Α|B В Β|C С|E Е Ε|H Н Η|I І Ι Ӏ|J Ј Ϳ|K К Κ|M М Μ|N Ν|O О Ο Օ|P Р Ρ|Q Ԛ|S Ѕ|T Т Τ|U Ս|V Ѵ|W Ԝ|X Х Χ|Y Ү Υ|Z Ζ
 Г Γ|П Π|Ф Φ
 ヘ へ|ロ 口|ニ 二|タ 夕|カ 力|エ 工|ハ 八|ト 卜|オ 才|ー 一
+A Ꭺ ꓮ|B Ᏼ ꓐ Ⲃ|C Ꮯ ꓚ Ⲥ|D Ꭰ ꓓ|E Ꭼ ꓰ|F ꓝ|G Ꮐ ꓖ|H Ꮋ ꓧ Ⲏ|I ꓲ Ⲓ|J Ꭻ ꓙ|K Ꮶ ꓗ Ⲕ|L Ꮮ ꓡ|M Ꮇ ꓟ Ⲙ|N ꓠ Ⲛ|O ꓳ Ⲟ|P Ꮲ ꓑ Ⲣ|R Ꮢ ꓣ|S Ꮪ ꓢ|T Ꭲ ꓔ Ⲧ
+U ꓴ|V Ꮩ ꓦ|W Ꮃ ꓪ|X ꓫ Ⲭ|Y ꓬ Ⲩ|Z Ꮓ ꓜ Ⲍ|c ᴄ ⲥ|g ɡ|o ᴏ ⲟ|p ⲣ|s ꜱ|v ᴠ|w ᴡ|z ᴢ
 """
 MEMBERS: dict[str, str] = {}
 SHAPE_OF: dict[str, str] = {}
 for _line in SHAPES.split("\n"):
     for _group in filter(None, _line.split("|")):
         _letters = _group.split()
-        MEMBERS[_letters[0]] = "".join(_letters)
+        MEMBERS[_letters[0]] = "".join(dict.fromkeys(MEMBERS.get(_letters[0], "") + "".join(_letters)))
         SHAPE_OF |= dict.fromkeys(_letters, _letters[0])
 
 #: Look-alikes that compatibility normalisation would turn into letters of another look, replaced before it.
@@ -56,6 +59,8 @@ START = "^"
 
 def fold(text: str) -> str:
     """Compatibility-normalised, decomposed text without what draws nothing; one blank between words, none at the ends."""
+    if text.isascii() and text.isprintable():
+        return re.sub(" +", " ", text).strip(" ")
     text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text).translate(BEFORE))
     text = INVISIBLE.sub("", text).translate({ord(h): "-" for h in HYPHENS})
     return unicodedata.normalize("NFD", BLANKS.sub(" ", text).strip(" "))
@@ -142,10 +147,11 @@ class Model:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        tokens = Counter(t for text in batch["folded"].dropna() for t in TOKEN.findall(text))
         counts: Counter = Counter()
-        for text in batch["folded"].dropna():
-            for token in TOKEN.findall(text):
-                counts.update(bigrams(token))
+        for token, n in tokens.items():
+            for pair in bigrams(token):
+                counts[pair] += n
         yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["a", "b", "n"])
 
 
@@ -163,12 +169,18 @@ def fit(texts: DataFrame, column: str) -> Model:
     return Model({(r.a, r.b): r.n for r in counted.collect()})  # bounded: see Model
 
 
+def shape(column: Column) -> Column:
+    """A folded text with every letter as its shape, in the JVM: texts have one form exactly if they have one shape."""
+    return F.translate(column, "".join(SHAPE_OF), "".join(SHAPE_OF.values()))
+
+
 def canonical(model: Model, column: Column) -> Column:
-    """The one form of a folded text, composed; null stays null."""
+    """The one form of a folded text, composed; null stays null. A task's tokens are searched once each."""
 
-    def run(text: pd.Series) -> pd.Series:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         options = lru_cache(maxsize=200_000)(model.options)
-        return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", model.form(x, options)))
+        for text in texts:
+            yield text.map(lambda x: None if x is None else unicodedata.normalize("NFC", model.form(x, options)))
 
     return F.pandas_udf(run, "string")(column)
 
@@ -185,18 +197,19 @@ def unify(texts: DataFrame, column: str, output: str = "form") -> DataFrame:
 def alike_pairs(names: DataFrame, item: str, name: str) -> DataFrame:
     """(item_a, item_b), a < b: different items with names of the same look but not of the same characters.
 
-    Names are reduced to distinct ones per item; null names and names that draw nothing are no names. Spellings are paired
-    first, once per pair of spellings, then each spelling's items are looked up: items that share a spelling are never
-    compared, so a name that many items share makes no more pairs than it has rows in the result.
+    Names are reduced to distinct ones per item; null names and names that draw nothing are no names. Every distinct spelling
+    is folded once, and only spellings whose shape has several go through the lattice. Spellings are paired first, once per
+    pair of spellings, then each spelling's items are looked up: items that share a spelling are never compared, so a name
+    that many items share makes no more pairs than it has rows in the result.
     """
-    own = names.select(F.col(item).alias("item"), F.col(name).alias("name")).filter(F.col("item").isNotNull() & F.col("name").isNotNull()).distinct()
-    forms = materialize(unify(own, "name").filter(F.col("form") != ""), "forms")
-    spellings = forms.select("form", "name").distinct()
-    several = spellings.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("form")
-    spellings = spellings.join(several, "form", "left_semi")
-    other = spellings.withColumnRenamed("name", "name_b")
-    pairs = spellings.withColumnRenamed("name", "name_a").join(other, "form").filter(F.col("name_a") < F.col("name_b"))
-    one = forms.select(F.col("name").alias("name_a"), F.col("item").alias("x"))
-    two = forms.select(F.col("name").alias("name_b"), F.col("item").alias("y"))
-    items = pairs.join(one, "name_a").join(two, "name_b").filter(F.col("x") != F.col("y"))
+    own = names.select(F.col(item).alias("item"), F.col(name).alias("name")).filter(F.col("item").isNotNull() & F.col("name").isNotNull())
+    own = materialize(own.distinct(), "names")
+    spellings = materialize(own.select("name").distinct().withColumn("folded", folded(F.col("name"))).withColumn("shape", shape(F.col("folded"))), "spellings")
+    model = fit(spellings, "folded")
+    several = spellings.filter(F.col("shape") != "").groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("shape")
+    forms = materialize(spellings.join(several, "shape", "left_semi").select("name", canonical(model, F.col("folded")).alias("form")), "forms")
+    pairs = forms.withColumnRenamed("name", "name_a").join(forms.withColumnRenamed("name", "name_b"), "form").filter(F.col("name_a") < F.col("name_b"))
+    one = own.select(F.col("name").alias("name_a"), F.col("item").alias("x"))
+    two = own.select(F.col("name").alias("name_b"), F.col("item").alias("y"))
+    items = pairs.select("name_a", "name_b").join(one, "name_a").join(two, "name_b").filter(F.col("x") != F.col("y"))
     return items.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")).distinct()

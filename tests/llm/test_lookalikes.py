@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from lumenframe.llm import lookalikes as L
 
 SCHEMA = "item bigint, name string, form string, _folded string"
@@ -60,3 +62,17 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(long,), (None,)], "t string")
     got = {r.t: r.form for r in L.unify(df, "t").collect()}
     assert len(got[long]) == len(long) - 1 and got[None] is None
+
+
+def test_letters_of_further_scripts(spark):
+    rows = list(enumerate(["Apple gone", "Ꭺpple ɡᴏne", "ꓮpple gⲟne", "Apple gοne", "Apple gone!", "αpple gone", "Applе gıne"]))
+    assert pairs(spark, rows) == set(itertools.combinations(range(4), 2))
+
+
+def test_shape_and_form_agree(spark):
+    r = random.Random(3)
+    words = ["Тоска", "space", "Rope", "カロリ", "ガ", "ace of"]
+    texts = ["".join(r.choice(L.MEMBERS[L.SHAPE_OF[c]]) if c in L.SHAPE_OF else c for c in w) for w in words for _ in range(20)]
+    df = spark.createDataFrame([(t, L.fold(t)) for t in texts], "t string, f string")
+    rows = df.select(L.shape(F.col("f")).alias("s"), L.canonical(L.Model({}), F.col("f")).alias("c")).collect()
+    assert len({x.s for x in rows}) == len({x.c for x in rows}) == len({(x.s, x.c) for x in rows})
