@@ -60,21 +60,30 @@ def age_days(ts: Column, as_of: Column) -> Column:
     return F.greatest(F.datediff(F.to_date(as_of), F.to_date(ts)), F.lit(0))
 
 
-def quotas(weights: list[float], places: int) -> list[int]:
-    """Largest remainders; every positive weight gets at least one place as far as there are any; ties go to the first."""
-    total = sum(w for w in weights if w > 0)
-    if total <= 0 or places <= 0:
-        return [0] * len(weights)
-    exact = [max(w, 0) / total * places for w in weights]
-    out = [int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (-(exact[i] - out[i]), i))[: places - sum(out)]:
-        out[i] += 1
-    for i in sorted((i for i, w in enumerate(weights) if w > 0 and out[i] == 0), key=lambda i: (-weights[i], i)):
-        giver = max(range(len(out)), key=lambda j: (out[j], -j))
-        if out[giver] > 1:
-            out[giver] -= 1
-            out[i] += 1
-    return out
+def quotas(shares: DataFrame, keys: list[str], group: str, weight: str, places: int) -> DataFrame:
+    """shares with `places`: how many of a number of places each group of a key gets, by largest remainders.
+
+    Every whole part of a group's exact share is a place; the places left over go to the greatest fractions. Groups of positive
+    weight left without one then get the topmost places of the others, each place seen as a unit at its height above the first:
+    the highest units are given up. Ties go to the group first in order. Without a positive weight all get 0; null counts as 0.
+    """
+    own = Window.partitionBy(*keys)
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    exact = F.coalesce(F.try_divide(w * places, F.sum(w).over(own)), F.lit(0.0))
+    split = shares.withColumn("_exact", F.round(exact, 9)).withColumn("_whole", F.floor("_exact"))
+    split = split.withColumn("_left", F.when(F.sum("_exact").over(own) > 0, places - F.sum("_whole").over(own)).otherwise(0))
+    by_fraction = own.orderBy((F.col("_exact") - F.col("_whole")).desc(), F.col(group))
+    dealt = split.withColumn("_n", F.col("_whole") + (F.row_number().over(by_fraction) <= F.col("_left")).cast("bigint"))
+    bare = (F.col("_n") == 0) & (F.col("_exact") > 0)
+    dealt = dealt.withColumn("_bare", F.sum(bare.cast("int")).over(own)).withColumn("_spare", F.sum(F.greatest(F.col("_n") - 1, F.lit(0))).over(own))
+    units = dealt.filter("_n > 1 and _bare > 0").select(*keys, group, "_bare", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n"))).alias("_height"))
+    given = units.withColumn("_r", F.row_number().over(own.orderBy(F.col("_height").desc(), F.col(group)))).filter("_r <= _bare")
+    lost = given.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_lost"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, group]]
+    both = dealt.alias("a").join(lost.alias("b"), same, "left").select("a.*", F.coalesce("b._lost", F.lit(0)).alias("_lost"))
+    heaviest = F.row_number().over(Window.partitionBy(*keys, bare).orderBy(F.col("_exact").desc(), F.col(group)))
+    n = F.when(bare & (heaviest <= F.col("_spare")), 1).otherwise(F.col("_n") - F.col("_lost"))
+    return both.withColumn("places", n.cast("int")).drop("_exact", "_whole", "_left", "_n", "_bare", "_spare", "_lost")
 
 
 def diversified(scores: np.ndarray, vectors: np.ndarray, groups: dict[str, np.ndarray], caps: dict[str, int], n: int, trade: float = 0.15) -> list[int]:
@@ -130,10 +139,12 @@ def beliefs(outcomes: DataFrame) -> DataFrame:
 
 
 def borrowed_beliefs(own: DataFrame) -> DataFrame:
-    """(arm, context, alpha, beta): a Beta(1, 1) prior, own evidence and 0.3 of the arm's evidence in other contexts."""
+    """(arm, context, alpha, beta): a Beta(1, 1) prior, own evidence and 0.3 of the arm's evidence in other contexts. Sums are
+    exact decimals, so the result doesn't depend on the order of rows."""
     arm = Window.partitionBy("arm")
-    with_rest = lambda c: 1 + F.col(c) + BORROWED * (F.sum(c).over(arm) - F.col(c))
-    return own.select("arm", "context", F.round(with_rest("good"), 6).alias("alpha"), F.round(with_rest("bad"), 6).alias("beta"))
+    exact = lambda c: F.col(c).cast("decimal(18,6)")
+    with_rest = lambda c: F.lit(1) + exact(c) + F.lit(str(BORROWED)).cast("decimal(2,1)") * (F.sum(exact(c)).over(arm).cast("decimal(18,6)") - exact(c))
+    return own.select("arm", "context", F.round(with_rest("good"), 6).cast("double").alias("alpha"), F.round(with_rest("bad"), 6).cast("double").alias("beta"))
 
 
 def allocate(alpha: list[float], beta: list[float], places: int, seed: int, draws: int = 100, cap: float = 0.5, floor: int = 1) -> list[int]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -263,18 +261,19 @@ def shelves(spark: SparkSession, folder: str) -> DataFrame:
     return top_per_key(g, ["shelf"], [_desc("votes"), F.col("item_id")], 20).select("shelf", "item_id", "votes", "rank")
 
 
-@query("op_r09_quotas")
+@query("op_r09_quotas", TITLES_SQL + """, w AS (SELECT r.profile_id, t.kind, count(*)::DOUBLE AS w FROM (SELECT DISTINCT rec_id, profile_id, item_id FROM recommendations WHERE profile_id IS NOT NULL) r JOIN titles t USING (item_id) GROUP BY 1, 2),
+  x AS (SELECT *, round(w * 20 / sum(w) OVER (PARTITION BY profile_id), 9) AS e FROM w), f AS (SELECT *, floor(e) AS n0 FROM x),
+  g AS (SELECT *, n0 + CASE WHEN row_number() OVER (PARTITION BY profile_id ORDER BY e - n0 DESC, kind NULLS FIRST) <= 20 - sum(n0) OVER (PARTITION BY profile_id) THEN 1 ELSE 0 END AS n FROM f),
+  b AS (SELECT *, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY profile_id) AS bare FROM g),
+  u AS (SELECT profile_id, kind, bare, unnest(range(2, CAST(n AS BIGINT) + 1)) AS height FROM b WHERE n > 1),
+  l AS (SELECT profile_id, kind, count(*) AS lost FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY height DESC, kind NULLS FIRST) <= bare) GROUP BY 1, 2)
+  SELECT b.profile_id, b.kind, CAST(CASE WHEN n = 0 THEN 1 ELSE n - coalesce(lost, 0) END AS INT) AS places FROM b LEFT JOIN l ON l.profile_id = b.profile_id AND l.kind IS NOT DISTINCT FROM b.kind""")
 def place_quotas(spark: SparkSession, folder: str) -> DataFrame:
-    """Places per kind for every profile, by largest remainders over what it was shown; a profile has a row per kind."""
+    """Places per kind for every profile, by largest remainders over what it was shown."""
     kinds = titles(spark, folder).select("item_id", "kind")
     shown = table(spark, folder, "recommendations").filter("profile_id is not null").select("rec_id", "profile_id", "item_id").distinct()
-    n = shown.join(kinds, "item_id").groupBy("profile_id", "kind").agg(F.count(F.lit(1)).cast("double").alias("w"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("kind")
-        return rows[["profile_id", "kind"]].assign(places=np.array(C.quotas(rows["w"].tolist(), 20), dtype="int32"))
-
-    return n.groupBy("profile_id").applyInPandas(run, "profile_id bigint, kind string, places int")
+    n = shown.join(kinds, "item_id").groupBy("profile_id", "kind").agg(F.count(F.lit(1)).alias("w"))
+    return C.quotas(n, ["profile_id"], "kind", "w", 20).select("profile_id", "kind", "places")
 
 
 @query("op_q04_advice", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_extendedprice / 10000.0::DOUBLE) AS need, l_quantity / 5.0::DOUBLE AS thr, l_quantity / 20.0::DOUBLE + 0.1 AS spread FROM lineitem), z AS (SELECT *, (1.05 * need - thr) / sqrt(spread * spread + 0.04) AS x FROM c),

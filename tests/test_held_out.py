@@ -11,5 +11,5 @@ def test_held_out_likes_leave_no_trace(spark, tmp_path):
     lines = [(u, i, 50.0) for u in range(0, 30, 5) for i in (*range(1, 5), 100)]
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(lines, LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
-    [row] = QUERIES["op_m01_held_out_metrics"](spark, str(tmp_path)).collect()
+    [row] = QUERIES["op_m01_ranking_metrics"](spark, str(tmp_path)).collect()
     assert (row.users, row.recall, row.ndcg, row.mrr) == (6, 0.0, 0.0, 0.0)

@@ -38,10 +38,14 @@ def test_modes_find_separate_directions():
     assert vectors.modes(m[:3], np.ones(3)).tolist() == [0, 0, 0]
 
 
-def test_quotas_and_rail_caps():
-    assert recommend.quotas([0.5, 0.3, 0.2], 10) == [5, 3, 2]
-    assert recommend.quotas([0.98, 0.01, 0.01], 10) == [8, 1, 1]
-    assert recommend.quotas([0, 0], 5) == [0, 0]
+def test_quotas(spark):
+    cases = {1: ([0.5, 0.3, 0.2], [5, 3, 2]), 2: ([0.98, 0.01, 0.01], [8, 1, 1]), 3: ([0.0, 0.0], [0, 0]), 4: ([0.7, 0.2, 0.1], [7, 2, 1]), 5: ([1.0, 1.0, 1.0], [4, 3, 3]), 6: ([-1.0, 1.0, None], [0, 10, 0]), 7: ([0.48, 0.48] + [0.01] * 4, [3, 3, 1, 1, 1, 1]), 8: ([1.0] * 12, [1] * 10 + [0, 0])}
+    rows = [(k, g, w) for k, (ws, _) in cases.items() for g, w in enumerate(ws)]
+    got = recommend.quotas(spark.createDataFrame(rows, "k int, g int, w double"), ["k"], "g", "w", 10).collect()
+    assert {k: [r.places for r in sorted((r for r in got if r.k == k), key=lambda r: r.g)] for k in cases} == {k: want for k, (_, want) in cases.items()}
+
+
+def test_rail_caps():
     rng = np.random.default_rng(3)
     kind = np.array(["a", "b", None] * 10, dtype=object)
     chosen = recommend.diversified(rng.random(30), np.eye(30), {"kind": kind}, {"kind": 2}, 10)
