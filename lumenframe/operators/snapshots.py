@@ -57,30 +57,35 @@ def places(h: int, cells: int) -> list[int]:
     return [((h & _MASK) >> (21 * i)) % (1 << 21) % third + i * third for i in range(HASHES)]
 
 
-def latest_rows(rows: DataFrame, source: str, number: str, key: str, values: list[str], extra: list[str], loaded: str) -> DataFrame:
-    """One row per source, snapshot and key: source, number, key, bucket, k, h, content, extra.
-
-    Of several versions the one loaded last counts; of several loaded at one time the greatest in the order of values, so
-    the choice doesn't depend on arrival. Rows without source, number or key belong to no snapshot and are left out.
-    k hashes the key, h key and content (null differs from every value). The buckets of a source follow its rows.
-    """
-    known = rows.filter(F.col(source).isNotNull() & F.col(number).isNotNull() & F.col(key).isNotNull()).select(
+def known_rows(rows: DataFrame, source: str, number: str, key: str, values: list[str], extra: list[str], loaded: str) -> DataFrame:
+    """source, number, key, loaded, content, extra, k and h of the rows that belong to a snapshot: those with source, number
+    and key. k hashes the key, h key and content (null differs from every value)."""
+    parts = [x for v in values for x in (F.col(v), F.col(v).isNull())]
+    return rows.filter(F.col(source).isNotNull() & F.col(number).isNotNull() & F.col(key).isNotNull()).select(
         F.col(source).alias("source"), F.col(number).cast("bigint").alias("number"), F.col(key).alias("key"), F.col(loaded).alias("loaded"),
         F.struct(*values).alias("content"), F.struct(*(extra or [F.lit(None).cast("string").alias("none")])).alias("extra"),
+        F.xxhash64(key).alias("k"), F.xxhash64(key, *parts).alias("h"),
     )
+
+
+def latest_hashes(known: DataFrame) -> DataFrame:
+    """One row per source, snapshot and key: source, number, bucket, k, h, tied.
+
+    Of several versions the one loaded last counts; where several of different content were loaded at that time the row is
+    tied, and its h is one of theirs. The buckets of a source follow its rows.
+    """
     per_snapshot = known.groupBy("source", "number").agg(F.count(F.lit(1)).alias("n"))
     sizes = per_snapshot.groupBy("source").agg(F.ceil(F.max("n") / BUCKET_ROWS).alias("buckets"))
     if sizes.count() <= BROADCAST_SOURCES:
         sizes = F.broadcast(sizes)
-    spread = known.join(sizes, "source").withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("buckets"))).drop("buckets")
-    one = spread.repartition("source", "bucket").groupBy("source", "bucket", "number", "key").agg(
-        F.max(F.struct("loaded", "content", "extra")).alias("last")
-    )
-    parts = [x for v in values for x in (F.col(f"last.content.{v}"), F.col(f"last.content.{v}").isNull())]
-    return one.select(
-        "source", "number", "key", "bucket", F.xxhash64("key").alias("k"), F.xxhash64("key", *parts).alias("h"),
-        F.col("last.content").alias("content"), F.col("last.extra").alias("extra"),
-    )
+    spread = known.select("source", "number", "key", "loaded", "k", "h").join(sizes, "source")
+    spread = spread.withColumn("bucket", F.pmod("k", F.col("buckets"))).drop("buckets").repartition("source", "bucket")
+    keys = ["source", "bucket", "number", "key", "k"]
+    versions = spread.groupBy(*keys, "loaded").agg(F.max("h").alias("high"), F.min("h").alias("low"))
+    # a null time is the earliest; of one key each time stands once, so the last is defined
+    last = lambda c: F.coalesce(F.max_by(c, "loaded"), F.max(F.when(F.col("loaded").isNull(), F.col(c))))
+    one = versions.groupBy(*keys).agg(last("high").alias("h"), last("low").alias("low"))
+    return one.select("source", "number", "bucket", "k", "h", (F.col("h") != F.col("low")).alias("tied"))
 
 
 def consecutive(rows: DataFrame) -> DataFrame:
@@ -152,24 +157,22 @@ def _solve(differences: DataFrame, cells: int) -> DataFrame:
     return differences.mapInPandas(run, f"source {source}, number bigint, bucket bigint, found array<struct<k: bigint, h: bigint, sign: int>>")
 
 
-def _side(rows: DataFrame, wanted: DataFrame, at: str, name: str) -> DataFrame:
-    """The rows of snapshot wanted[at] whose key hash is wanted, under the number of the comparison."""
-    keys = wanted.select("source", F.col("number").alias("to"), F.col(at).alias("number"), "k")
-    hit = rows.join(keys, ["source", "number", "k"])
-    return hit.select("source", F.col("to").alias("number"), "key", F.lit(name).alias("side"), "content", "extra")
-
+def _classify(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """source, number, key, change, before, after, extra of the wanted (source, number, previous, k) that truly differ.
 
-def _classify(sides: DataFrame) -> DataFrame:
-    """source, number, key, change, before, after, extra of rows given as sides `new` and `old`, where they differ."""
-    both = sides.groupBy("source", "number", "key").agg(
-        *[F.max(F.when(F.col("side") == s, F.struct("content", "extra"))).alias(s) for s in ("new", "old")]
-    )
+    The latest version of each side is taken from the rows given: the one loaded last, of several loaded at one time the
+    greatest in the order of values.
+    """
+    sides = F.explode(F.array(F.struct(F.col("number").alias("at"), F.lit(True).alias("new")), F.struct(F.col("previous").alias("at"), F.lit(False).alias("new"))))
+    asked = wanted.select("source", F.col("number").alias("to"), "k", sides.alias("s")).select("source", "to", "k", F.col("s.at").alias("number"), "s.new")
+    hit = known.join(asked, ["source", "number", "k"]).withColumn("version", F.struct("loaded", "content", "extra"))
+    both = hit.groupBy("source", "to", "key").agg(F.max(F.when(F.col("new"), F.col("version"))).alias("new"), F.max(F.when(~F.col("new"), F.col("version"))).alias("old"))
     change = (
         F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
         .when(~F.col("new.content").eqNullSafe(F.col("old.content")), "changed")
     )
     return both.select(
-        "source", "number", "key", change.alias("change"), F.col("old.content").alias("before"), F.col("new.content").alias("after"),
+        "source", F.col("to").alias("number"), "key", change.alias("change"), F.col("old.content").alias("before"), F.col("new.content").alias("after"),
         F.coalesce("new.extra", "old.extra").alias("extra"),
     ).filter(F.col("change").isNotNull())
 
@@ -190,28 +193,29 @@ def snapshot_changes(
     the values, extra other columns of the row. A key that leaves and returns is removed and later added. A table without
     rows gives none; other columns, whatever their names, are ignored; repeated rows and several versions count once.
     """
-    kept = materialize(latest_rows(rows, source, number, key, values, extra, loaded), "snapshot-rows")
+    known = known_rows(rows, source, number, key, values, extra, loaded)
+    kept = materialize(latest_hashes(known), "snapshot-hashes")
     order = materialize(consecutive(kept), "snapshot-order")
-    todo, part, solved = None, kept, []
+    todo, part, found = None, kept, []
     for cells in sizes:
         own = order if todo is None else order.join(todo.select("source", F.col("number")).distinct(), ["source", "number"], "left_semi")
         tables = _differences(part, order, cells)
         tables = tables if todo is None else tables.join(todo.select("source", "number", "bucket"), ["source", "number", "bucket"], "left_semi")
         result = materialize(_solve(tables, cells), f"peeled-{cells}")
-        solved.append(result.filter(F.col("found").isNotNull()).select("source", "number", F.explode("found.k").alias("k")))
+        found.append(result.filter(F.col("found").isNotNull()).select("source", "number", F.explode("found.k").alias("k")))
         todo = result.filter(F.col("found").isNull()).join(own, ["source", "number"]).select("source", "number", "previous", "bucket")
         if todo.isEmpty():
             todo = None
             break
         part = materialize(_of(kept, todo), "unsolved-rows")
-    wanted = solved[0]
-    for x in solved[1:]:
-        wanted = wanted.unionByName(x)
-    wanted = wanted.distinct().join(order, ["source", "number"])
-    sides = _side(kept, wanted, "number", "new").unionByName(_side(kept, wanted, "previous", "old"))
-    if todo is not None:  # the exact way for buckets that no size could hold
-        for at, name in (("number", "new"), ("previous", "old")):
+    # tied rows are judged by their contents in both comparisons they stand in
+    tied = kept.filter("tied").join(order, ["source", "number"])
+    found.append(tied.select("source", F.explode(F.array("number", "following")).alias("number"), "k"))
+    if todo is not None:  # the exact way for buckets that no size could hold: all their keys
+        for at in ("number", "previous"):
             at_side = todo.select("source", "bucket", F.col("number").alias("to"), F.col(at).alias("number"))
-            hit = part.join(at_side, ["source", "number", "bucket"])
-            sides = sides.unionByName(hit.select("source", F.col("to").alias("number"), "key", F.lit(name).alias("side"), "content", "extra"))
-    return _classify(sides)
+            found.append(part.join(at_side, ["source", "number", "bucket"]).select("source", F.col("to").alias("number"), "k"))
+    wanted = found[0]
+    for x in found[1:]:
+        wanted = wanted.unionByName(x)
+    return _classify(known, wanted.distinct().join(order, ["source", "number"]).filter("previous is not null"))

@@ -77,3 +77,9 @@ def test_failed_digest_is_no_solution():
     assert S.peel(cells, 12) is None
     cells.append({"cell": -1, "n": 1, "k": k, "h": h, "c": S.pair_check(k, h)})
     assert S.peel(cells, 12) == [(k, h, 1)]
+
+
+def test_versions_of_one_time_and_without_time(spark):
+    """Ties of one loading time go to the greatest content, on either side of a comparison; a null time is the earliest."""
+    rows = [("a", n, "t", "x", title, 1, at, "", 0) for n, at, title in ((1, 5, "B"), (1, 5, "A"), (2, 5, "B"), (3, 5, "A"), (3, 5, "B"), (4, None, "C"), (4, None, "D"), (5, None, "C"), (5, 1, "D"))]
+    assert changes(spark, rows) == {("a", 4, "t", "changed")} == brute(rows)
