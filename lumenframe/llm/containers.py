@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.storage import materialize
 
-#: Containers' worth of items in a block; branches searched in a block; leaves enumerated for a container.
-BLOCK, BRANCHES, LEAVES = 64, 200, 24
+#: Containers' worth of items in a block; branches searched in a block; fillings enumerated for a container; items up to which
+#: a filling's dominance is decided (a longer one counts as undominated). They bound the search, never what is placed.
+BLOCK, BRANCHES, LEAVES, DOMINANCE = 64, 200, 24, 8
 #: A container filled to this share is final in any round but the last.
 CLOSED = 0.985
 ROUNDS = 2
@@ -64,7 +65,7 @@ def dominated(a: list[int], b: list[int]) -> bool:
     """Whether filling b is at least as good as a in every solution: a's items can be packed into b's as if those were bins."""
     if sum(a) > sum(b) or a == b:
         return False
-    if len(a) > 8 or len(b) > 8:
+    if len(a) > DOMINANCE or len(b) > DOMINANCE:
         return False
 
     def place(i: int, room: list[int]) -> bool:
@@ -109,7 +110,7 @@ def fillings(left: list[int], room: int) -> list[list[int]]:
     extend(room, len(left), [])
     found.sort(key=lambda f: (-sum(f), f))
     kept: list[list[int]] = []
-    for f in found[:12]:
+    for f in found:
         if not any(dominated(f, k) for k in kept):
             kept.append(f)
     return kept
@@ -137,7 +138,7 @@ def bin_completion(sizes: list[int], capacity: int, branches: int = BRANCHES) ->
         tries = options(left) if tries is None else tries
         if not tries:
             continue
-        budget -= len(stack) == 0 or len(tries) < 12  # every branch counts
+        budget -= 1
         filling = tries.pop()
         if tries:
             stack.append((left, waste, bins, tries))

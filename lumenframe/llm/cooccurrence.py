@@ -2,7 +2,8 @@
 
 Identical baskets are collapsed into one weighted row first, so a basket that occurs a million times is enumerated once.
 Pairs are generated from each distinct basket by two streaming generators (no array of all pairs exists at any time), and
-their weights are summed map-side before the only shuffle by pair. A popular item is no hot key: no exchange is keyed by
+their weights are summed map-side before the only shuffle by pair; items too rare for any wanted pair are left out before.
+A long basket is enumerated in blocks by several tasks. A popular item is no hot key: no exchange is keyed by
 one item except the per-item count, whose partial aggregation leaves one row per task and item.
 """
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from lumenframe.storage import materialize
 
+#: Items from which on a basket is cut into blocks of first items. Frequent items up to which pairs are filtered by a broadcast.
+LONG, BLOCK, BROADCAST_ITEMS = 2000, 200, 2_000_000
+
 
 def basket(ids: Column) -> Column:
     """Sorted distinct non-null elements of an array; null for a null array."""
@@ -26,7 +30,7 @@ def collapse_baskets(records: DataFrame, key: str, ids: Column) -> DataFrame:
     taken, so that the result doesn't depend on arrival. Records with a null key, a null list or no usable element have no
     basket.
     """
-    # no group needs an array in its aggregation buffer: arrays stand in the grouping key, which hashes
+    # the greatest array of a record is found by sorting; equal baskets are then grouped by hash
     rows = records.select(F.col(key).alias("_key"), basket(ids).alias("items"))
     rows = rows.filter(F.col("_key").isNotNull() & (F.size("items") > 0))
     one = rows.groupBy("_key").agg(F.max("items").alias("items"))
@@ -38,24 +42,35 @@ def item_counts(baskets: DataFrame) -> DataFrame:
     return baskets.select(F.explode("items").alias("item"), "weight").groupBy("item").agg(F.sum("weight").alias("n_item"))
 
 
-def pair_counts(baskets: DataFrame) -> DataFrame:
-    """(item_a, item_b, n_ab) for all pairs a < b within any basket."""
-    first = baskets.filter(F.size("items") > 1).select("weight", "items", F.posexplode("items").alias("at", "item_a"))
+def pair_counts(baskets: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(item_a, item_b, n_ab) for all pairs a < b within any basket; with `among` (item) only of items that are in it, which
+    must be few enough to be broadcast."""
+    several = baskets.filter(F.size("items") > 1)
+    short = several.filter(F.size("items") <= LONG).select("weight", "items", F.posexplode("items").alias("at", "item_a"))
+    blocks = several.filter(F.size("items") > LONG).select("weight", "items", F.explode(F.sequence(F.lit(0), F.size("items") - 2, F.lit(BLOCK))).alias("block"))
+    blocks = blocks.repartition(F.xxhash64("items"), F.col("block"))
+    long = blocks.select("weight", "items", "block", F.posexplode(F.slice("items", F.col("block") + 1, F.lit(BLOCK))).alias("n", "item_a"))
+    first = short.unionByName(long.select("weight", "items", (F.col("block") + F.col("n")).alias("at"), "item_a"))
+    if among is not None:
+        first = first.join(F.broadcast(among.select(F.col("item").alias("item_a"))), "item_a", "left_semi")
     rest = F.slice("items", F.col("at") + 2, F.size("items"))
     pairs = first.filter(F.col("at") + 1 < F.size("items")).select("item_a", "weight", F.explode(rest).alias("item_b"))
+    if among is not None:
+        pairs = pairs.join(F.broadcast(among.select(F.col("item").alias("item_b"))), "item_b", "left_semi")
     return pairs.groupBy("item_a", "item_b").agg(F.sum("weight").alias("n_ab"))
 
 
 def associated_pairs(records: DataFrame, key: str, ids: Column, min_together: int = 1, min_lift: float = 0.0) -> DataFrame:
-    """Pairs of items in one record: item_a, item_b, n_ab, n_a, n_b, n, lift, conviction.
+    """Pairs of items in one record: item_a, item_b, n_ab, n_a, n_b, n, lift, conviction, conviction_back.
 
     n counts records with a basket. lift = n_ab * n / (n_a * n_b) is compared with min_lift in exact decimals.
-    conviction of a => b is (1 - n_b / n) / (1 - n_ab / n_a), null where a never stands without b. Empty input gives no rows.
+    conviction of a => b is (1 - n_b / n) / (1 - n_ab / n_a), null where a never stands without b; conviction_back is that of
+    b => a. Empty input gives no rows.
     """
     baskets = materialize(collapse_baskets(records, key, ids), "baskets")
-    counts = item_counts(baskets)
-    often = counts.filter(F.col("n_item") >= min_together)
-    pairs = pair_counts(baskets).filter(F.col("n_ab") >= min_together)
+    often = materialize(item_counts(baskets).filter(F.col("n_item") >= min_together), "frequent-items")
+    few = min_together > 1 and often.count() <= BROADCAST_ITEMS
+    pairs = pair_counts(baskets, often if few else None).filter(F.col("n_ab") >= min_together)
     total = baskets.agg(F.sum("weight").alias("n"))  # one row
     joined = (
         pairs.join(often.select(F.col("item").alias("item_a"), F.col("n_item").alias("n_a")), "item_a")
@@ -69,4 +84,5 @@ def associated_pairs(records: DataFrame, key: str, ids: Column, min_together: in
         "item_a", "item_b", "n_ab", "n_a", "n_b", "n",
         (ab * n / (a * b)).alias("lift"),
         F.when(F.col("n_ab") < F.col("n_a"), (1 - b / n) / (1 - ab / a)).alias("conviction"),
+        F.when(F.col("n_ab") < F.col("n_b"), (1 - a / n) / (1 - ab / b)).alias("conviction_back"),
     )

@@ -117,19 +117,22 @@ def mix(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float |
     """(key, source, tokens, times): how often each text is used, for those used at all.
 
     sized: key (unique), source, tokens. targets: share and greatest number of uses per source; sources without a target,
-    null sources and texts without tokens aren't used. A source without texts leaves its share to the others.
+    null sources and texts without tokens aren't used. There must be few enough targets for a table of them to be
+    broadcast; the queries allow 10,000. A source without texts leaves its share to the others.
     """
-    usable = sized.filter((F.col("tokens") > 0) & F.col("source").isin(*targets)) if targets else sized.filter(F.lit(False))
+    spark = sized.sparkSession
+    per_source = lambda values, column: F.broadcast(spark.createDataFrame(list(values.items()), f"source string, {column} double"))  # noqa: E731 - a row per target
+    usable = sized.filter(F.col("tokens") > 0).join(per_source({s: t[0] for s, t in targets.items()}, "share"), "source", "left_semi")
     usable = materialize(usable.select("key", "source", "tokens"), "usable")
     sums = usable.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # one row per target
     available, texts = {r.source: r.tokens for r in sums}, {r.source: r.n for r in sums}
     taken = plan(available, targets, total)
-    rate = F.lit(0.0)
+    rates = {}
     for s, tokens in taken.items():
         exact = tokens / available[s]
         nearest = round(exact)
-        rate = F.when(F.col("source") == s, float(nearest) if abs(exact - nearest) < 1e-9 else exact).otherwise(rate)
-    rated = usable.withColumn("rate", rate).withColumn("sure", F.floor("rate"))
+        rates[s] = float(nearest) if abs(exact - nearest) < 1e-9 else exact
+    rated = usable.join(per_source(rates, "rate"), "source").withColumn("sure", F.floor("rate"))
     todo = rated.select("key", "source", "tokens", (F.col("rate") - F.col("sure")).alias("chance")).filter(F.col("chance") > 0)
     decided = None
     level = 0
@@ -138,10 +141,8 @@ def mix(sized: DataFrame, targets: dict[str, tuple[float, int]], total: float |
     while True:
         level += 1
         blocks = {s: -(-n // BLOCK) for s, n in texts.items()}
-        count = F.lit(1)
-        for s, n in blocks.items():
-            count = F.when(F.col("source") == s, n).otherwise(count)
-        dealt = todo.withColumn("blocks", count.cast("bigint")).withColumn("block", F.pmod(F.xxhash64("key", F.lit(level)), F.col("blocks")))
+        counted = todo.join(per_source({s: float(n) for s, n in blocks.items()}, "blocks"), "source").withColumn("blocks", F.col("blocks").cast("bigint"))
+        dealt = counted.withColumn("block", F.pmod(F.xxhash64("key", F.lit(level)), F.col("blocks"))).select("key", "source", "tokens", "chance", "blocks", "block")
         moved = materialize(dealt.groupBy("source", "block").applyInPandas(_decide, shape), f"flight-{level}")
         yes = moved.filter(F.col("chance") == 1).select("key")
         decided = yes if decided is None else decided.unionByName(yes)

@@ -39,7 +39,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The same pairs with their counts, lift and conviction."""
     scores = _together(spark, folder)
-    return scores.select("item_a", "item_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
+    return scores.select("item_a", "item_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"), F.round("conviction_back", 6).alias("conviction_back"))
 
 
 _PAIRS = """
@@ -56,7 +56,8 @@ pair AS (SELECT item_a, item_b, n_ab, x.n_item AS n_a, y.n_item AS n_b, n
 ORACLES["p1_found"] = _PAIRS + "SELECT item_a AS item_id_a, item_b AS item_id_b FROM pair"
 ORACLES["p1_scores"] = _PAIRS + """
 SELECT item_a, item_b, n_ab, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift,
-       round(CASE WHEN n_ab < n_a THEN (1 - n_b::DOUBLE / n) / (1 - n_ab::DOUBLE / n_a) END, 6) AS conviction FROM pair"""
+       round(CASE WHEN n_ab < n_a THEN (1 - n_b::DOUBLE / n) / (1 - n_ab::DOUBLE / n_a) END, 6) AS conviction,
+       round(CASE WHEN n_ab < n_b THEN (1 - n_a::DOUBLE / n) / (1 - n_ab::DOUBLE / n_b) END, 6) AS conviction_back FROM pair"""
 
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,3 +40,16 @@ def test_empty_and_very_long_lists(spark):
     assert run(spark, []) == {}
     assert run(spark, [(None, [1, 2]), (1, None), (2, [])]) == {}
     assert len(run(spark, [(1, list(range(1500)) * 2)])) == 1500 * 1499 // 2
+
+
+def test_long_baskets_are_cut_and_rare_items_left_out(spark, monkeypatch):
+    from lumenframe.llm import cooccurrence as C
+
+    r = random.Random(2)
+    rows = [(i, [r.randrange(60) for _ in range(r.randrange(1, 40))] + [1000 + i]) for i in range(60)]
+    want = {k: (x.n_ab, x.n_a, x.n_b) for k, x in run(spark, rows, min_together=3).items()}
+    monkeypatch.setattr(C, "LONG", 5)
+    monkeypatch.setattr(C, "BLOCK", 3)
+    assert {k: (x.n_ab, x.n_a, x.n_b) for k, x in run(spark, rows, min_together=3).items()} == want
+    monkeypatch.setattr(C, "BROADCAST_ITEMS", 0)
+    assert {k: (x.n_ab, x.n_a, x.n_b) for k, x in run(spark, rows, min_together=3).items()} == want and want
