@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.scalars import Draws
 from lumenframe.operators.relational import top_per_key
 
 ALPHA, NEIGHBOURS = 0.65, 50
@@ -150,8 +151,9 @@ def borrowed_beliefs(own: DataFrame) -> DataFrame:
 def allocate(alpha: list[float], beta: list[float], places: int, seed: int, draws: int = 100, cap: float = 0.5, floor: int = 1) -> list[int]:
     """Places per arm by Thompson sampling: the share of draws an arm wins, at most cap, at least floor; the arm furthest
     behind its share takes the next place."""
-    random = np.random.default_rng(seed)
-    wins = np.bincount(np.argmax(random.beta(alpha, beta, size=(draws, len(alpha))), axis=1), minlength=len(alpha)) / draws
+    random = Draws(seed)
+    drawn = np.stack([random.beta(a, b, draws) for a, b in zip(alpha, beta)], axis=1)
+    wins = np.bincount(np.argmax(drawn, axis=1), minlength=len(alpha)) / draws
     share = np.minimum(wins, cap)
     share = share / share.sum() if share.sum() > 0 else np.full(len(alpha), 1 / len(alpha))
     out = np.full(len(alpha), min(floor, places // max(len(alpha), 1)))

@@ -52,22 +52,6 @@ def rating_weight(spark: SparkSession, folder: str) -> DataFrame:
     return ratings(spark, folder).groupBy("item").agg(F.round(F.sum(w), 6).alias("weight"))
 
 
-@query("op_x16_held_out_split", "WITH " + RATINGS_SQL + """SELECT CASE "user" % 10 WHEN 0 THEN 'tune' WHEN 1 THEN 'test' ELSE 'build' END AS part, count(*) AS ratings, count(DISTINCT "user") AS users FROM rating GROUP BY 1""")
-def held_out_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Users split for building, tuning and testing."""
-    u = F.col("user") % 10
-    return ratings(spark, folder).groupBy(F.when(u == 0, "tune").when(u == 1, "test").otherwise("build").alias("part")).agg(F.count(F.lit(1)).alias("ratings"), F.countDistinct("user").alias("users"))
-
-
-@query("op_f16_resume_points", _EV + """SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'completed' WHEN value < 60 THEN 'skim' ELSE 'abandoned' END AS outcome,
-  CASE WHEN value >= 10 AND value <= 120 THEN round(value, 6) END AS resume FROM ev""")
-def resume_points(spark: SparkSession, folder: str) -> DataFrame:
-    """How a playback ended, and where to go on: not within the first seconds nor near the end."""
-    v = F.col("value")
-    outcome = F.when(F.col("event_type") == "purchase", "completed").when(v < 60, "skim").otherwise("abandoned")
-    return events(spark, folder).select("event_id", outcome.alias("outcome"), F.when((v >= 10) & (v <= 120), F.round(v, 6)).alias("resume"))
-
-
 @query("op_f11_hidden", _EV + """, h AS (SELECT user_id, item, max(ts) AS hidden_at FROM ev WHERE event_type = 'error' GROUP BY 1, 2)
   SELECT user_id, item, hidden_at FROM h WHERE NOT EXISTS (SELECT 1 FROM ev w WHERE w.user_id = h.user_id AND w.item = h.item AND w.event_type = 'view' AND w.ts > h.hidden_at)""")
 def hidden(spark: SparkSession, folder: str) -> DataFrame:
