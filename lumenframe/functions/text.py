@@ -63,28 +63,55 @@ def franchise_key(title: Column) -> Column:
     return F.array_join(F.slice(F.split(F.trim(bare), r"\s+"), 1, 2), " ")
 
 
+#: Spelled durations in minutes. Fixed values.
+DURATIONS = {"half an hour": 30, "an hour and a half": 90, "hour and a half": 90, "an hour": 60, "one hour": 60, "two hours": 120, "three hours": 180, "four hours": 240}
+_UNTIL = r"(?:,| in | from | under | over | with | about |$)"
+_DECADE_LONG, _DECADE_SHORT = r"(?:^|[^0-9])([0-9]{3}0)s", r"(?:^|[^0-9])([0-9])0s"
+_SPAN = r"(half an hour|an hour and a half|hour and a half|an hour|one hour|two hours|three hours|four hours|[0-9]+ ?(?:minutes|minute|mins|min|hours|hour|hrs|h)(?:[^a-z]|$))"
+_UNDER, _OVER = rf"(?:under|less than|shorter than|below) {_SPAN}", rf"(?:over|more than|longer than|above) {_SPAN}"
+
+
 def query_reading(text: Column) -> Column:
-    """struct(director, year_from, year_to, most_minutes, rest) of a search in words.
+    """struct(director, year_from, year_to, least_minutes, most_minutes, rest) of a search in words.
 
-    Of every marker only the first occurrence is read: a director after "directed by", a decade, "between a and b",
-    "before", "after", "since" or "in" with a year from 1870 to 2100, "under n minutes".
+    Of every marker only the first occurrence is read, directors first, then years, then lengths: a director after "directed
+    by" up to a comma or the next marker; "between a and b", a decade ("1990s" or "90s", under 30 of this century), "before",
+    "after" or "since" a year, or "in", "from" or "of" one, from 1870 to 2100; "under" or "over" a length in figures or words.
     """
-    low = F.lower(text)
-    director_mark = r"directed by (.+?)(?:,| in | from | under | over | with | about |$)"
-    director = F.nullif(F.trim(F.regexp_extract(low, director_mark, 1)), F.lit(""))
-    number = lambda pattern, i=1: F.nullif(F.regexp_extract(low, pattern, i), F.lit("")).cast("int")
-    between = (number(r"between (\d{4}) and (\d{4})", 1), number(r"between (\d{4}) and (\d{4})", 2))
-    decade = number(r"(?:^|\s)(\d{3}0)s\b")
-    before, after, since, year = number(r"before (\d{4})"), number(r"after (\d{4})"), number(r"since (\d{4})"), number(r"\b(?:in|from|of) (\d{4})\b(?!s)")
+    # each step is bound once as the element of an array, so that no expression is repeated in the next
+    bind = lambda value, step: F.get(F.transform(F.array(value), step), F.lit(0))
+    director = lambda low: F.nullif(F.trim(F.regexp_extract(low, rf"directed by (.+?){_UNTIL}", 1)), F.lit(""))
+    return bind(F.lower(text), lambda low: bind(F.struct(low.alias("low"), director(low).alias("director")), _after_director))
+
+
+def _after_director(read: Column) -> Column:
+    director = read["director"]
+    after_director = F.when(director.isNotNull(), F.regexp_replace(read["low"], rf"directed by .+?(?={_UNTIL})", " ")).otherwise(read["low"])
+    take = lambda pattern, i=1: F.nullif(F.regexp_extract(after_director, pattern, i), F.lit(""))
     sound = lambda y: F.when(y.between(1870, 2100), y)
-    low_year = F.coalesce(sound(between[0]), sound(decade), sound(after) + 1, sound(since), sound(year))
-    high_year = F.coalesce(sound(between[1]), sound(decade) + 9, sound(before) - 1, sound(year))
-    minutes = F.coalesce(number(r"under (\d+) min"), number(r"under (\d+) hour") * 60)
-    cut = low
-    for pattern in (r"directed by .+?(?=,| in | from | under | over | with | about |$)", r"between \d{4} and \d{4}", r"\b\d{3}0s\b", r"\b(?:before|after|since|in|from|of) \d{4}\b", r"under \d+ (?:min\w*|hours?)"):
-        cut = F.regexp_replace(cut, pattern, " ")
-    rest = F.trim(F.regexp_replace(cut, r"[\s,]+", " "))
-    return F.struct(director.alias("director"), low_year.alias("year_from"), high_year.alias("year_to"), minutes.alias("most_minutes"), rest.alias("rest"))
+    number = lambda pattern, i=1: sound(take(pattern, i).cast("int"))
+    pair = r"between ([0-9]{4}) and ([0-9]{4})"
+    short = take(_DECADE_SHORT).cast("int")
+    decade = F.coalesce(number(_DECADE_LONG), F.when(short < 3, 2000 + short * 10).otherwise(1900 + short * 10))
+    before, after, since, year = (number(rf"(?:^|[^a-z]){w} ([0-9]{{4}})(?:[^0-9]|$)") for w in ("before", "after", "since", "(?:in|from|of)"))
+    low_year = F.coalesce(number(pair, 1), decade, after + 1, since, year)
+    kinds = [number(pair, 2), decade + 9, before - 1, year]
+    high_year = F.when(number(pair, 1).isNotNull(), kinds[0]).when(decade.isNotNull(), kinds[1]).when(before.isNotNull(), kinds[2]).when(after.isNotNull() | since.isNotNull(), None).otherwise(kinds[3])
+    words = F.create_map(*[F.lit(x) for item in DURATIONS.items() for x in item])
+
+    def minutes(pattern: str) -> Column:
+        span = take(pattern)
+        n = F.regexp_extract(span, "^([0-9]+)", 1).try_cast("int")
+        return F.coalesce(F.try_element_at(words, F.trim(span)), F.when(span.rlike("^[0-9]+ ?h"), n * 60).otherwise(n))
+
+    rest = after_director
+    for pattern in (pair, _DECADE_LONG, _DECADE_SHORT, r"(?:^|[^a-z])(?:before|after|since|in|from|of) [0-9]{4}(?:[^0-9]|$)", _UNDER, _OVER):
+        rest = F.regexp_replace(rest, pattern, " ")
+    rest = F.trim(F.regexp_replace(rest, r"[\s,]+", " "))
+    return F.struct(
+        director.alias("director"), low_year.alias("year_from"), high_year.alias("year_to"), minutes(_OVER).alias("least_minutes"),
+        minutes(_UNDER).alias("most_minutes"), rest.alias("rest"),
+    )
 
 
 def excerpt(text: Column, most: int = 220) -> Column:

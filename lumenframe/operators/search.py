@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.text import words
 from lumenframe.operators.relational import top_per_key
+from lumenframe.storage import materialize
 
 K1, B, FUSION = 1.2, 0.75, 60
 
@@ -40,25 +41,64 @@ def bm25(posts: DataFrame, key: str, queries: DataFrame, query: str, text: str,
     return top_per_key(whole.select("query", key, "score"), ["query"], [F.col("score").desc(), F.col(key)], k)
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct three-letter pieces of a lower-case text."""
+def grams(text: Column, size: int = 3) -> Column:
+    """The pieces of `size` letters of a lower-case text, as often as they stand; a null or shorter text has none."""
     low = F.lower(text)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    cut = F.transform(F.sequence(F.lit(1), F.length(low) - (size - 1)), lambda i: F.substr(low, i, F.lit(size)))
+    return F.when(F.length(low) >= size, cut).otherwise(F.array().cast("array<string>"))
 
 
-def trigram_scores(names: DataFrame, key: str, name: str, queries: DataFrame, query: str, text: str) -> DataFrame:
-    """(query, key, score): all names sharing trigrams with a query, by Jaccard; queries under four letters find nothing."""
-    asked = queries.filter(F.length(text) >= 4).select(F.col(query).alias("query"), trigrams(F.col(text)).alias("g"))
-    asked = asked.select("query", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    own = names.select(key, trigrams(F.col(name)).alias("g")).select(key, F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    both = asked.join(own, "gram").groupBy("query", key, "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    score = F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6)
-    return both.select("query", key, score.alias("score"))
+def gram_postings(names: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, term, tf, doc_len): three-letter pieces of all names of each key."""
+    counted = names.select(key, F.explode(grams(F.col(name))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    return counted.join(counted.groupBy(key).agg(F.sum("tf").alias("doc_len")), key)
 
 
-def trigram_matches(names: DataFrame, key: str, name: str, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
-    """(query, key, score, rank): the best of trigram_scores()."""
-    return top_per_key(trigram_scores(names, key, name, queries, query, text), ["query"], [F.col("score").desc(), F.col(key)], k)
+def fuzzy(posts: DataFrame, key: str, queries: DataFrame, query: str, text: str, k: int, least: float = 0.3) -> DataFrame:
+    """(query, key, score, rank): documents that hold any of a query's three-letter pieces, `least` of the distinct ones at
+    least, best by BM25; queries under four letters find nothing.
+
+    Whatever holds that share of a query's pieces holds one of its rarest: so candidates are looked up by those alone, and the
+    commonest pieces join only with candidates. posts: gram_postings(), written once as it is read thrice.
+    """
+    asked = queries.filter(F.length(text) >= 4).select(F.col(query).alias("query"), F.explode(F.array_distinct(grams(F.col(text)))).alias("term"))
+    stats = posts.select(key, "doc_len").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("mean_len"))  # one row
+    frequency = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    whole = Window.partitionBy("query")
+    needed = F.ceil(F.round(F.count(F.lit(1)).over(whole) * least, 9))
+    ranked = asked.join(frequency, "term", "left").withColumns({
+        "needed": needed, "pieces": F.count(F.lit(1)).over(whole), "place": F.row_number().over(whole.orderBy(F.coalesce("df", F.lit(0)), "term")),
+    })
+    ranked = materialize(ranked, "query-pieces")
+    rare = ranked.filter(F.col("place") <= F.col("pieces") - F.col("needed") + 1)
+    found = rare.select("query", "term").join(posts.select(key, "term"), "term").select("query", key).distinct()
+    hits = found.join(ranked.select("query", "term", "df", "needed"), "query").join(posts, [key, "term"]).join(F.broadcast(stats))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len")))
+    scored = hits.groupBy("query", key, "needed").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("held")).filter("held >= needed")
+    return top_per_key(scored.select("query", key, "score"), ["query"], [F.col("score").desc(), F.col(key)], k)
+
+
+def filtered(titles: DataFrame, key: str, asked: DataFrame, k: int) -> DataFrame:
+    """(query, key, rank): titles within each query's limits, most votes first; a query without a limit finds nothing.
+
+    asked: query, year_from, year_to, least_minutes, most_minutes (null is no limit). An unknown year or length fails a limit on
+    it. Equal limits are looked up once, and by decade, so no query meets titles outside its decades.
+    """
+    limits = ["year_from", "year_to", "least_minutes", "most_minutes"]
+    known = asked.filter(F.coalesce(*limits).isNotNull())
+    kinds = known.select(*limits).distinct()
+    has_year = F.coalesce("year_from", "year_to").isNotNull()
+    decades = F.sequence(F.expr("coalesce(year_from, 1870) div 10"), F.expr("coalesce(year_to, 2100) div 10"))
+    spread = kinds.withColumn("decade", F.explode(F.when(has_year & (F.coalesce("year_from", F.lit(1870)) <= F.coalesce("year_to", F.lit(2100))), decades).when(~has_year, F.array(F.lit(None).cast("bigint")))))
+    both_ways = F.array_distinct(F.array(F.lit(None).cast("bigint"), F.expr("year div 10")))  # a null decade is for limits without years
+    own = titles.select(key, "year", "minutes", "votes").withColumn("decade", F.explode(both_ways))
+    inside = lambda c, low, high: (F.col(low).isNull() | (F.col(c) >= F.col(low))) & (F.col(high).isNull() | (F.col(c) <= F.col(high)))
+    same = F.col("a.decade").eqNullSafe(F.col("b.decade"))
+    both = spread.alias("a").join(own.alias("b"), same).drop("decade").filter(inside("year", "year_from", "year_to") & inside("minutes", "least_minutes", "most_minutes"))
+    best = top_per_key(both.select(*limits, key, "votes").distinct(), limits, [F.col("votes").desc_nulls_last(), F.col(key)], k)
+    match = [F.col(f"q.{c}").eqNullSafe(F.col(f"t.{c}")) for c in limits]
+    return known.alias("q").join(best.alias("t"), match).select("q.query", F.col(f"t.{key}"), F.col("t.rank"))
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], key: str, k: int) -> DataFrame:

@@ -163,13 +163,6 @@ def difference(spark: SparkSession, folder: str) -> DataFrame:
     return titles(spark, folder).select("imdb_id").join(table(spark, folder, "documents").select("imdb_id"), "imdb_id", "left_anti")
 
 
-@query("op_k02_all_terms", TITLES_SQL + """SELECT item_id FROM titles WHERE list_has_all(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), ['return', 'to'])""")
-def all_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """Names that hold every word asked for."""
-    own = F.split(F.lower("title"), r"[^\p{L}\p{N}]+")
-    return titles(spark, folder).filter(F.array_contains(own, "return") & F.array_contains(own, "to")).select("item_id")
-
-
 @query("op_r06_axis_score", "WITH " + RATINGS_SQL + """, t AS (SELECT "user", p_type AS axis, sum(stars - 3) AS w FROM rating JOIN part ON p_partkey = item GROUP BY 1, 2)
   SELECT "user", round(greatest(-1, least(1, max(w) / 10 + least(min(w), 0) / 10)), 6)::DOUBLE AS score FROM t GROUP BY 1""")
 def axis_score(spark: SparkSession, folder: str) -> DataFrame:

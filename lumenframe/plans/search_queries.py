@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as T
 from lumenframe.operators import search as S
-from lumenframe.operators.relational import top_per_key
 from lumenframe.plans.base import TITLES_SQL, Registry, titles
+from lumenframe.storage import materialize
 from lumenframe.tables import table
 
 _r = Registry()
 query = _r.query
 
-#: Queries: the English titles of entries, as words; all of them.
+#: Queries: the English titles of entries, all of them; some with a year, a decade or a length said in words.
 _ASKED = """asked AS (SELECT DISTINCT anilist_id AS query, english_title AS q FROM anime_entries WHERE english_title IS NOT NULL),
 """
+_SAID = """said AS (SELECT DISTINCT anilist_id AS query, english_title || CASE anilist_id % 8 WHEN 0 THEN ' in ' || year WHEN 1 THEN ' from the ' || year // 10 || '0s' WHEN 2 THEN ' under ' || (minutes + 10) || ' minutes'
+  WHEN 3 THEN ', over an hour and a half' WHEN 4 THEN ' between ' || (year - 1) || ' and ' || (year + 1) WHEN 5 THEN ' directed by Jane Doe, before ' || (year + 2) WHEN 6 THEN ' after ' || (year - 2) ELSE ' ' || (year % 100 // 10) || '0s less than 2 hours' END AS q
+  FROM anime_entries WHERE english_title IS NOT NULL AND year IS NOT NULL AND minutes IS NOT NULL)
+"""
+_SPAN_SQL = T._SPAN
+_READ = """, l AS (SELECT query, lower(q) AS l FROM said),
+d AS (SELECT query, l, nullif(trim(regexp_extract(l, 'directed by (.+?)""" + T._UNTIL + """', 1), ' '), '') AS director FROM l),
+a AS (SELECT query, director, CASE WHEN director IS NOT NULL THEN regexp_replace(l, 'directed by ' || regexp_extract(l, 'directed by (.+?)""" + T._UNTIL + """', 1), ' ') ELSE l END AS t FROM d),
+n AS (SELECT *, TRY_CAST(nullif(regexp_extract(t, 'between ([0-9]{4}) and ([0-9]{4})', 1), '') AS INT) AS b1, TRY_CAST(nullif(regexp_extract(t, 'between ([0-9]{4}) and ([0-9]{4})', 2), '') AS INT) AS b2,
+  TRY_CAST(nullif(regexp_extract(t, '""" + T._DECADE_LONG + """', 1), '') AS INT) AS d4, TRY_CAST(nullif(regexp_extract(t, '""" + T._DECADE_SHORT + """', 1), '') AS INT) AS d2,
+  TRY_CAST(nullif(regexp_extract(t, '(?:^|[^a-z])before ([0-9]{4})(?:[^0-9]|$)', 1), '') AS INT) AS bf, TRY_CAST(nullif(regexp_extract(t, '(?:^|[^a-z])after ([0-9]{4})(?:[^0-9]|$)', 1), '') AS INT) AS af,
+  TRY_CAST(nullif(regexp_extract(t, '(?:^|[^a-z])since ([0-9]{4})(?:[^0-9]|$)', 1), '') AS INT) AS si, TRY_CAST(nullif(regexp_extract(t, '(?:^|[^a-z])(?:in|from|of) ([0-9]{4})(?:[^0-9]|$)', 1), '') AS INT) AS y,
+  regexp_extract(t, '""" + T._UNDER + """', 1) AS u, regexp_extract(t, '""" + T._OVER + """', 1) AS o FROM a),
+s AS (SELECT query, director, t, u, o, CASE WHEN b1 BETWEEN 1870 AND 2100 THEN b1 END AS b1, CASE WHEN b2 BETWEEN 1870 AND 2100 THEN b2 END AS b2, CASE WHEN d4 BETWEEN 1870 AND 2100 THEN d4 WHEN d2 IS NOT NULL THEN CASE WHEN d2 < 3 THEN 2000 + d2 * 10 ELSE 1900 + d2 * 10 END END AS dec,
+  CASE WHEN bf BETWEEN 1870 AND 2100 THEN bf END AS bf, CASE WHEN af BETWEEN 1870 AND 2100 THEN af END AS af, CASE WHEN si BETWEEN 1870 AND 2100 THEN si END AS si, CASE WHEN y BETWEEN 1870 AND 2100 THEN y END AS y FROM n),
+""" + "\n".join(f"m_{x} AS (SELECT query, CASE trim({x}, ' ') " + " ".join(f"WHEN '{w}' THEN {m}" for w, m in T.DURATIONS.items()) + f" ELSE TRY_CAST(nullif(regexp_extract({x}, '^([0-9]+)', 1), '') AS INT) * CASE WHEN regexp_matches({x}, '^[0-9]+ ?h') THEN 60 ELSE 1 END END AS m FROM s)," for x in "uo") + """
+reading AS (SELECT s.query, director, CAST(coalesce(b1, dec, af + 1, si, y) AS INT) AS year_from, CAST(CASE WHEN b1 IS NOT NULL THEN b2 WHEN dec IS NOT NULL THEN dec + 9 WHEN bf IS NOT NULL THEN bf - 1 WHEN af IS NOT NULL OR si IS NOT NULL THEN NULL ELSE y END AS INT) AS year_to,
+  CAST(mo.m AS INT) AS least_minutes, CAST(mu.m AS INT) AS most_minutes FROM s JOIN m_u mu USING (query) JOIN m_o mo USING (query))
+"""
 _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+#: Four fields: titles, other names, genres and the first synopsis, weighted 10, 6, 2 and 1.
 _BM25 = """
-names AS (SELECT DISTINCT item_id, title, genres FROM media_items),
-word AS (SELECT item_id, unnest(""" + _WORDS.format("title") + """) AS term, 10.0 AS w FROM names
-  UNION ALL SELECT item_id, unnest(""" + _WORDS.format("genres") + """) AS term, 1.0 AS w FROM names),
+one AS (SELECT imdb_id, arg_min(text, doc_id) AS plot FROM documents WHERE source = 'synopsis' AND imdb_id IS NOT NULL AND text <> '' GROUP BY 1),
+names AS (SELECT DISTINCT m.item_id, title, array_to_string(list_filter(alternative_titles, lambda x: x IS NOT NULL), ' ') AS other, genres, plot FROM media_items m LEFT JOIN one USING (imdb_id)),
+word AS (""" + " UNION ALL ".join(f"SELECT item_id, unnest({_WORDS.format(c)}) AS term, {w}::DOUBLE AS w FROM names" for c, w in (("title", 10), ("other", 6), ("genres", 2), ("plot", 1))) + """),
 tf AS (SELECT item_id, term, CAST(sum(w) AS DOUBLE) AS tf FROM word GROUP BY 1, 2),
 len AS (SELECT item_id, sum(tf) AS dl FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS ml FROM len),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -30,10 +50,15 @@ hit AS (SELECT query, item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * t
   FROM term JOIN df USING (term) JOIN tf USING (term) JOIN len USING (item_id), st GROUP BY 1, 2),
 keyword AS (SELECT query, item_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) AS INT) AS rank FROM hit JOIN need USING (query) WHERE found = needed QUALIFY rank <= 50)
 """
-_GRAM = "CASE WHEN length({0}) >= 3 THEN list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr(lower({0}), i, 3))) ELSE [] END"
-_FUZZY = """, qg AS (SELECT query, """ + _GRAM.format("q") + """ AS g FROM asked WHERE length(q) >= 4), ng AS (SELECT item_id, """ + _GRAM.format("title") + """ AS g FROM names),
-common AS (SELECT query, item_id, na, nb, count(*) AS c FROM (SELECT query, len(g) AS na, unnest(g) AS gram FROM qg) JOIN (SELECT item_id, len(g) AS nb, unnest(g) AS gram FROM ng) USING (gram) GROUP BY 1, 2, 3, 4),
-fuzzy AS (SELECT query, item_id, round(c / (na + nb - c), 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY round(c / (na + nb - c), 6) DESC, item_id) AS INT) AS rank FROM common QUALIFY rank <= 50)
+_GRAM = "CASE WHEN length({0}) >= 3 THEN list_transform(range(1, length({0}) - 1), lambda i: substr(lower({0}), i, 3)) ELSE [] END"
+_ALL_NAMES = """every AS (SELECT item_id, title AS name FROM media_items WHERE title IS NOT NULL UNION SELECT item_id, x.n FROM media_items, unnest(alternative_titles) AS x(n) WHERE x.n IS NOT NULL)"""
+_FUZZY = ", " + _ALL_NAMES + """, gt AS (SELECT item_id, gram, count(*)::DOUBLE AS tf FROM (SELECT item_id, unnest(""" + _GRAM.format("name") + """) AS gram FROM every) GROUP BY 1, 2),
+gl AS (SELECT item_id, sum(tf) AS dl FROM gt GROUP BY 1), gs AS (SELECT count(*) AS n, avg(dl) AS ml FROM gl), gd AS (SELECT gram, count(*) AS df FROM gt GROUP BY 1),
+gq AS (SELECT query, unnest(list_distinct(""" + _GRAM.format("q") + """)) AS gram FROM asked WHERE length(q) >= 4), gn AS (SELECT query, ceil(round(count(*) * 0.3::DOUBLE, 9)) AS needed FROM gq GROUP BY 1),
+gh AS (SELECT query, item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / ml))), 6) AS score, count(*) AS held FROM gq JOIN gd USING (gram) JOIN gt USING (gram) JOIN gl USING (item_id), gs GROUP BY 1, 2),
+fuzzy AS (SELECT query, item_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) AS INT) AS rank FROM gh JOIN gn USING (query) WHERE held >= needed QUALIFY rank <= 50)
+"""
+_EXACT = """, e AS (SELECT query, item_id, CAST(row_number() OVER (PARTITION BY query ORDER BY item_id) AS INT) AS rank FROM (SELECT DISTINCT query, item_id FROM asked JOIN every ON lower(q) = lower(name)))
 """
 
 
@@ -42,26 +67,66 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     return entries.select(F.col("anilist_id").alias("query"), F.col("english_title").alias("q")).filter("q is not null").distinct()
 
 
-def _keyword(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "media_items").select("item_id", "title", "genres").distinct()
-    posts = S.postings(names, "item_id", {"title": 10, "genres": 1})
-    return S.bm25(posts, "item_id", _asked(spark, folder), "query", "q", 50)
+def _said(spark: SparkSession, folder: str) -> DataFrame:
+    """(query, q): searches in words, with years, decades and lengths in several ways of saying them."""
+    e = table(spark, folder, "anime_entries").dropna(subset=["english_title", "year", "minutes"])
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    year = lambda n=0: (F.col("year") + n).cast("string")
+    ways = [
+        text(" in ", year()), text(" from the ", F.expr("year div 10").cast("string"), "0s"), text(" under ", (F.col("minutes") + 10).cast("string"), " minutes"), text(", over an hour and a half"),
+        text(" between ", year(-1), " and ", year(1)), text(" directed by Jane Doe, before ", year(2)), text(" after ", year(-2)), text(" ", F.expr("year % 100 div 10").cast("string"), "0s less than 2 hours"),
+    ]
+    said = ways[7]
+    for i, way in enumerate(ways[:7]):
+        said = F.when(F.col("anilist_id") % 8 == i, way).otherwise(said)
+    return e.select(F.col("anilist_id").alias("query"), F.concat("english_title", said).alias("q")).distinct()
+
+
+def _all_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, name): titles and alternative titles."""
+    items = table(spark, folder, "media_items")
+    more = items.select("item_id", F.explode("alternative_titles").alias("name"))
+    return items.select("item_id", F.col("title").alias("name")).unionByName(more).filter("name is not null").distinct()
+
+
+def _keyword(spark: SparkSession, folder: str, asked: DataFrame | None = None) -> DataFrame:
+    docs = table(spark, folder, "documents").filter("source = 'synopsis' and imdb_id is not null and text <> ''")
+    plots = docs.groupBy("imdb_id").agg(F.min_by("text", "doc_id").alias("plot"))
+    items = table(spark, folder, "media_items").select("item_id", "imdb_id", "title", "genres", F.array_join("alternative_titles", " ").alias("other")).distinct()
+    posts = materialize(S.postings(items.join(plots, "imdb_id", "left"), "item_id", {"title": 10, "other": 6, "genres": 2, "plot": 1}), "postings")
+    return S.bm25(posts, "item_id", asked if asked is not None else _asked(spark, folder), "query", "q", 50)
+
+
+def _fuzzy(spark: SparkSession, folder: str, asked: DataFrame | None = None) -> DataFrame:
+    posts = materialize(S.gram_postings(_all_names(spark, folder), "item_id", "name"), "pieces")
+    return S.fuzzy(posts, "item_id", asked if asked is not None else _asked(spark, folder), "query", "q", 50)
 
 
-def _fuzzy(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "media_items").select("item_id", "title").distinct()
-    return S.trigram_matches(names, "item_id", "title", _asked(spark, folder), "query", "q", 50)
+@query("op_k02_all_terms", "WITH " + _ASKED + """names AS (SELECT DISTINCT item_id, title FROM media_items WHERE title IS NOT NULL), w AS (SELECT DISTINCT item_id, unnest(""" + _WORDS.format("title") + """) AS term FROM names),
+  t AS (SELECT DISTINCT query, unnest(""" + _WORDS.format("q") + """) AS term FROM asked), n AS (SELECT query, count(*) AS n FROM t GROUP BY 1)
+  SELECT query, item_id FROM t JOIN w USING (term) JOIN n USING (query) GROUP BY query, item_id HAVING count(*) = max(n)""")
+def all_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The titles that hold every word of a query, for all queries. Candidates are looked up by each query's rarest word."""
+    own = table(spark, folder, "media_items").filter("title is not null").select("item_id", "title").distinct()
+    own = own.groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list(T.words(F.col("title"))))).alias("has"))  # an item's one title
+    asked = _asked(spark, folder).select("query", F.array_distinct(T.words(F.col("q"))).alias("want")).filter(F.size("want") > 0)
+    held = own.select("item_id", F.explode("has").alias("term"))
+    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = asked.select("query", F.explode("want").alias("term")).join(frequency, "term", "left").fillna(0, ["df"])
+    rarest = terms.groupBy("query").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    found = rarest.join(held, "term").select("query", "item_id")
+    return found.join(asked, "query").join(own, "item_id").filter(F.size(F.array_except("want", "has")) == 0).select("query", "item_id")
 
 
 @query("op_k03_bm25", "WITH " + _ASKED + _BM25 + "SELECT query, item_id, score, rank FROM keyword")
 def bm25(spark: SparkSession, folder: str) -> DataFrame:
-    """The names that hold all words of a query, by BM25 over weighted fields."""
+    """The titles that hold all words of a query, by BM25 over four weighted fields."""
     return _keyword(spark, folder)
 
 
-@query("op_k04_trigram", "WITH " + _ASKED + _BM25 + _FUZZY + "SELECT query, item_id, score, rank FROM fuzzy")
+@query("op_k04_trigram", "WITH " + _ASKED.rstrip().rstrip(",") + _FUZZY + "SELECT query, item_id, score, rank FROM fuzzy")
 def trigram(spark: SparkSession, folder: str) -> DataFrame:
-    """Names sharing trigrams with a query."""
+    """Titles that share three-letter pieces of any name with a query, by BM25."""
     return _fuzzy(spark, folder)
 
 
@@ -73,62 +138,38 @@ def fusion(spark: SparkSession, folder: str) -> DataFrame:
     return S.reciprocal_rank_fusion([_keyword(spark, folder), _fuzzy(spark, folder)], "item_id", 10)
 
 
-@query("op_k05_tiers", "WITH " + _ASKED + _BM25 + _FUZZY + """, e AS (SELECT query, item_id, CAST(row_number() OVER (PARTITION BY query ORDER BY item_id) AS INT) AS rank FROM asked JOIN names ON lower(q) = lower(title)),
-  u AS (SELECT query, item_id, 0 AS tier, rank AS pos FROM e UNION ALL SELECT query, item_id, 1, rank FROM keyword UNION ALL SELECT query, item_id, 2, rank FROM fuzzy),
-  o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, item_id ORDER BY tier, pos) = 1)
-  SELECT query, item_id, tier, pos, CAST(row_number() OVER (PARTITION BY query ORDER BY tier, pos, item_id) AS INT) AS rank FROM o QUALIFY rank <= 10""")
-def tiered(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact names before keyword hits before fuzzy ones."""
-    names = table(spark, folder, "media_items").select("item_id", "title").distinct()
-    exact = _asked(spark, folder).join(names, F.lower("q") == F.lower("title"))
-    exact = exact.select("query", "item_id", F.row_number().over(Window.partitionBy("query").orderBy("item_id")).alias("rank"))
-    return S.tiers([exact, _keyword(spark, folder), _fuzzy(spark, folder)], "item_id", 10)
-
-
-def _all_names(spark: SparkSession, folder: str) -> DataFrame:
-    """(item_id, name): titles and alternative titles."""
-    items = table(spark, folder, "media_items")
-    more = items.select("item_id", F.explode("alternative_titles").alias("name"))
-    return items.select("item_id", F.col("title").alias("name")).unionByName(more).filter("name is not null").distinct()
-
-
-def _keyword_all(spark: SparkSession, folder: str) -> DataFrame:
-    more = F.array_join("alternative_titles", " ").alias("alternative")
-    names = table(spark, folder, "media_items").select("item_id", "title", "genres", more).distinct()
-    posts = S.postings(names, "item_id", {"title": 10, "alternative": 6, "genres": 1})
-    return S.bm25(posts, "item_id", _asked(spark, folder), "query", "q", 50)
-
+@query("op_k08_query_reading", "WITH " + _SAID + _READ + "SELECT query, director, year_from, year_to, least_minutes, most_minutes FROM reading")
+def query_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """What searches in words ask for: director, years and lengths."""
+    read = _said(spark, folder).select("query", T.query_reading(F.col("q")).alias("r"))
+    return read.select("query", "r.director", "r.year_from", "r.year_to", "r.least_minutes", "r.most_minutes")
 
-def _fuzzy_all(spark: SparkSession, folder: str) -> DataFrame:
-    names = _all_names(spark, folder).withColumn("own", F.struct("item_id", "name"))
-    scores = S.trigram_scores(names, "own", "name", _asked(spark, folder), "query", "q")
-    best = scores.groupBy("query", F.col("own.item_id").alias("item_id")).agg(F.max("score").alias("score"))
-    return top_per_key(best, ["query"], [F.col("score").desc(), F.col("item_id")], 50)
 
-
-@query("op_k03_bm25_all_names")
-def bm25_all_names(spark: SparkSession, folder: str) -> DataFrame:
-    """bm25() with alternative titles as a field of weight 6."""
-    return _keyword_all(spark, folder)
-
-
-@query("op_k04_trigram_all_names")
-def trigram_all_names(spark: SparkSession, folder: str) -> DataFrame:
-    """trigram() by the best of an item's names."""
-    return _fuzzy_all(spark, folder)
-
-
-@query("op_k06_fusion_all_names")
-def fusion_all_names(spark: SparkSession, folder: str) -> DataFrame:
-    return S.reciprocal_rank_fusion([_keyword_all(spark, folder), _fuzzy_all(spark, folder)], "item_id", 10)
-
-
-@query("op_k05_tiers_all_names")
-def tiered_all_names(spark: SparkSession, folder: str) -> DataFrame:
-    """tiered() over titles and alternative titles."""
-    exact = _asked(spark, folder).join(_all_names(spark, folder), F.lower("q") == F.lower("name")).select("query", "item_id").distinct()
+@query("op_k05_tiers", "WITH " + _ASKED + _SAID + _READ + ", " + _BM25.strip() + _FUZZY + _EXACT + """, limits AS (SELECT * FROM reading WHERE coalesce(year_from, year_to, least_minutes, most_minutes) IS NOT NULL),
+  kinds AS (SELECT DISTINCT year_from, year_to, least_minutes, most_minutes FROM limits), own AS (SELECT DISTINCT item_id, year, runtime_minutes AS minutes, votes FROM media_items),
+  top AS (SELECT k.*, item_id, row_number() OVER (PARTITION BY year_from, year_to, least_minutes, most_minutes ORDER BY votes DESC NULLS LAST, item_id) AS rank FROM kinds k JOIN own ON coalesce(year >= year_from, year_from IS NULL) AND coalesce(year <= year_to, year_to IS NULL)
+    AND coalesce(minutes >= least_minutes, least_minutes IS NULL) AND coalesce(minutes <= most_minutes, most_minutes IS NULL) QUALIFY rank <= 10),
+  filters AS (SELECT l.query, t.item_id, t.rank FROM limits l JOIN top t ON t.year_from IS NOT DISTINCT FROM l.year_from AND t.year_to IS NOT DISTINCT FROM l.year_to AND t.least_minutes IS NOT DISTINCT FROM l.least_minutes AND t.most_minutes IS NOT DISTINCT FROM l.most_minutes),
+  u0 AS (SELECT query, item_id, 0 AS tier, rank AS pos FROM e UNION ALL SELECT query, item_id, 1, rank FROM keyword UNION ALL SELECT query, item_id, 2, rank FROM filters),
+  few AS (SELECT query FROM asked ANTI JOIN (SELECT query FROM u0 GROUP BY 1 HAVING count(DISTINCT item_id) >= 2) USING (query)),
+  u AS (FROM u0 UNION ALL SELECT query, item_id, 3, rank FROM fuzzy SEMI JOIN few USING (query)),
+  o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query, item_id ORDER BY tier, pos) = 1)
+  SELECT query, item_id, tier, CAST(pos AS INT) AS pos, CAST(row_number() OVER (PARTITION BY query ORDER BY tier, pos, item_id) AS INT) AS rank FROM o QUALIFY rank <= 10""")
+def tiered(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact names, then keyword hits, then the most voted within what the search says of years and lengths; fuzzy hits only for
+    searches with fewer than two results before."""
+    asked = _asked(spark, folder)
+    exact = asked.join(_all_names(spark, folder), F.lower("q") == F.lower("name")).select("query", "item_id").distinct()
     exact = exact.select("query", "item_id", F.row_number().over(Window.partitionBy("query").orderBy("item_id")).alias("rank"))
-    return S.tiers([exact, _keyword_all(spark, folder), _fuzzy_all(spark, folder)], "item_id", 10)
+    read = _said(spark, folder).select("query", T.query_reading(F.col("q")).alias("r")).select("query", "r.*")
+    own = table(spark, folder, "media_items").select("item_id", "year", F.col("runtime_minutes").alias("minutes"), "votes").distinct()
+    sure = [materialize(x, "tier") for x in (exact, _keyword(spark, folder, asked), S.filtered(own, "item_id", read, 10))]
+    some = sure[0].select("query", "item_id")
+    for x in sure[1:]:
+        some = some.unionByName(x.select("query", "item_id"))
+    enough = some.distinct().groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    few = asked.join(enough, "query", "left_anti")
+    return S.tiers([*sure, _fuzzy(spark, folder, few)], "item_id", 10)
 
 
 @query("op_k01_normalise", """SELECT DISTINCT item_id, title, trim(regexp_replace(lower(strip_accents(title)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS normal FROM media_items

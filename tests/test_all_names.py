@@ -1,11 +1,29 @@
 import pytest
+from lumenframe.operators import search
 from lumenframe.plans.registry import QUERIES
 
 
-@pytest.mark.parametrize("name", ["op_k03_bm25_all_names", "op_k04_trigram_all_names", "op_k05_tiers_all_names", "op_k06_fusion_all_names"])
+@pytest.mark.parametrize("name", ["op_k03_bm25", "op_k04_trigram", "op_k05_tiers", "op_k06_fusion"])
 def test_alternative_names_are_found(spark, tmp_path, name):
-    items = [(1, "Umi no Kaze", ["Wind over Water", None], "Drama"), (2, "Kigubo", None, None), (3, "Wind over Water", [], None)]
-    spark.createDataFrame(items, "item_id bigint, title string, alternative_titles array<string>, genres string").write.parquet(f"{tmp_path}/media_items.parquet")
-    spark.createDataFrame([(7, "Wind over Water")], "anilist_id bigint, english_title string").write.parquet(f"{tmp_path}/anime_entries.parquet")
+    items = [(1, "tt1", "Umi no Kaze", ["Wind over Water", None], "Drama", 1990, 90, 5), (2, "tt2", "Kigubo", None, None, None, None, None), (3, "tt3", "Wind over Water", [], None, 1991, 100, 7)]
+    shape = "item_id bigint, imdb_id string, title string, alternative_titles array<string>, genres string, year int, runtime_minutes int, votes bigint"
+    spark.createDataFrame(items, shape).write.parquet(f"{tmp_path}/media_items.parquet")
+    spark.createDataFrame([(7, "Wind over Water", None, None)], "anilist_id bigint, english_title string, year int, minutes int").write.parquet(f"{tmp_path}/anime_entries.parquet")
+    spark.createDataFrame([(1, "tt2", "synopsis", "A story")], "doc_id bigint, imdb_id string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES[name](spark, str(tmp_path)).collect()
     assert {r.item_id for r in got} == {1, 3} and len(got) == 2
+
+
+def test_rare_pieces_find_all_that_share_enough(spark):
+    import math
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    names = [(i, "".join(r.choice("abcd ") for _ in range(r.randrange(0, 14)))) for i in range(120)]
+    asked = [(i, "".join(r.choice("abcd ") for _ in range(r.randrange(0, 10)))) for i in range(40)]
+    posts = search.gram_postings(spark.createDataFrame(names, "id int, name string"), "id", "name")
+    got = {(x.query, x.id) for x in search.fuzzy(posts, "id", spark.createDataFrame(asked, "query int, q string"), "query", "q", 1000).collect()}
+    cut = lambda t: Counter(t[i : i + 3] for i in range(len(t) - 2))
+    want = {(q, i) for q, t in asked if len(t) >= 4 for i, n in names if (g := set(cut(t))) and len(g & set(cut(n))) >= math.ceil(round(len(g) * 0.3, 9))}
+    assert got == want and want

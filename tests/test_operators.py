@@ -96,13 +96,15 @@ def test_smoothed_flags(spark):
 
 def test_query_reading(spark):
     cases = {
-        "heist films directed by jane doe in 1994": ("jane doe", 1994, 1994, None, "heist films"),
-        "between 1980 and 1989 space": (None, 1980, 1989, None, "space"), "1990s comedies under 90 minutes": (None, 1990, 1999, 90, "comedies"),
-        "before 1950": (None, None, 1949, None, ""), "after 2010 robots": (None, 2011, None, None, "robots"), "in 1200": (None, None, None, None, ""), "": (None, None, None, None, ""),
+        "heist films directed by jane doe in 1994": ("jane doe", 1994, 1994, None, None, "heist films"), "in love in 1994": (None, 1994, 1994, None, None, "in love"),
+        "between 1980 and 1989 space": (None, 1980, 1989, None, None, "space"), "1990s comedies under 90 minutes": (None, 1990, 1999, None, 90, "comedies"),
+        "before 1950": (None, None, 1949, None, None, ""), "after 2010 robots": (None, 2011, None, None, None, "robots"), "in 1200": (None, None, None, None, None, ""), "": (None, None, None, None, None, ""),
+        "'20s jazz": (None, 2020, 2029, None, None, "jazz"), "'90s crime over two hours": (None, 1990, 1999, 120, None, "crime"), "short, less than half an hour": (None, None, None, None, 30, "short"),
+        "since 2001 longer than 3 hours": (None, 2001, None, 180, None, ""), "understated 5 minimalist films": (None, None, None, None, None, "understated 5 minimalist films"),
     }
     df = spark.createDataFrame([(q,) for q in cases], "q string").select("q", T.query_reading(F.col("q")).alias("r")).select("q", "r.*")
     for r in df.collect():
-        assert (r.director, r.year_from, r.year_to, r.most_minutes, r.rest) == cases[r.q], r.q
+        assert (r.director, r.year_from, r.year_to, r.least_minutes, r.most_minutes, r.rest) == cases[r.q], r.q
 
 
 def test_small_functions(spark):
