@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.relational import top_per_key
+from lumenframe.storage import materialize
 
 #: Query vectors held by the driver and every task at once; a larger set is answered in as many passes as needed.
 QUERY_BLOCK = 4096
@@ -31,10 +31,18 @@ def quantise(v: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(F.round(F.try_divide(x.cast("double") * 127, peak)), F.lit(0.0)).cast("tinyint"))
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(m, axis=-1, keepdims=True)
+    return m / np.where(norms == 0, 1, norms)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    rows = np.stack([np.asarray(x, dtype=np.float64) for x in column.to_pylist()])
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norms == 0, 1, norms)
+    """Unit vectors of rows that all have one length."""
+    return _unit(_rows(column))
 
 
 def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
@@ -51,19 +59,22 @@ def _query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[l
         last = rows[-1][key]
 
 
-def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, bonus: Column | None = None) -> DataFrame:
     """(query, id, similarity, rank): the k rows most alike by cosine, the query itself left out; ties go to the lower id.
 
-    Each task keeps k rows per query and batch, by one matrix product; only those meet in the shuffle.
+    bonus: of a row, added to its likeness to any query. Each task keeps k rows per query and batch, by one matrix product; only
+    those meet in the shuffle. Of several blocks of queries each one's result is written before the next is read.
     """
-    base = base.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col(vector).isNotNull())
-    parts = None
+    base = base.select(F.col(key).alias("id"), F.col(vector).alias("v"), (bonus if bonus is not None else F.lit(0.0)).cast("double").alias("bonus"))
+    base = base.filter(F.col("v").isNotNull())
+    best = lambda parts: top_per_key(parts, ["query"], [F.col("similarity").desc(), F.col("id")], k)
+    done = None
     for ids, block in _query_blocks(queries.filter(F.col(vector).isNotNull()), key, vector):
 
         def run(batches: Iterator[pa.RecordBatch], ids=np.array(ids), block=block) -> Iterator[pa.RecordBatch]:
             for batch in filter(len, batches):
                 own = np.asarray(batch.column("id"))
-                alike = np.round(block @ _matrix(batch.column("v")).T, 6)
+                alike = np.round(block @ _matrix(batch.column("v")).T + np.asarray(batch.column("bonus"))[None, :], 6)
                 order = np.lexsort((np.broadcast_to(own, alike.shape), -alike), axis=1)[:, : k + 1]
                 query = np.repeat(ids, order.shape[1])
                 found = own[order].ravel()
@@ -71,34 +82,113 @@ def nearest(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
                 score = np.take_along_axis(alike, order, axis=1).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(found[keep]), pa.array(score[keep])], ["query", "id", "similarity"])
 
-        part = base.mapInArrow(run, "query bigint, id bigint, similarity double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = base.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity")).filter(F.lit(False))
-    return top_per_key(parts, ["query"], [F.col("similarity").desc(), F.col("id")], k)
+        part = best(base.mapInArrow(run, "query bigint, id bigint, similarity double"))
+        part = part if len(ids) < QUERY_BLOCK and done is None else materialize(part, "nearest")
+        done = part if done is None else done.unionByName(part)
+    if done is None:
+        return best(base.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity")).filter(F.lit(False)))
+    return done
+
+
+def nearest_excluding(base: DataFrame, queries: DataFrame, key: str, vector: str, excluded: DataFrame, k: int, most: int = 2000) -> DataFrame:
+    """nearest() without each query's excluded (query, id): so many more are fetched, up to `most`, and the excluded left out."""
+    counts = excluded.groupBy("query").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()  # one row
+    found = nearest(base, queries, key, vector, k + min(counts.n or 0, most)).drop("rank")
+    return top_per_key(found.join(excluded, ["query", "id"], "left_anti"), ["query"], [F.col("similarity").desc(), F.col("id")], k)
+
 
+#: Vectors on which cells are fitted, in the order of a hash of their ids; most cells; neighbours that the sample's own must find.
+SAMPLE, MOST_CELLS, TARGET = 20_000, 4096, 0.97
 
-def hyperplane_bands(df: DataFrame, vector: str, bands: int, bits: int, dim: int, seed: int = 7) -> DataFrame:
-    """df with one row per band: band and bucket, the signs of random projections."""
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
 
-    def run(v: pd.Series) -> pd.Series:
-        m = np.stack(v.map(lambda x: np.asarray(x, dtype=np.float64)).to_numpy())
-        signs = (m @ planes.T > 0).reshape(len(m), bands, bits)
-        return pd.Series(list((signs @ (1 << np.arange(bits))).astype(np.int64)))
+class Cells:
+    """Unit centres of cells, and how many of a query's nearest cells hold its neighbours."""
 
-    buckets = F.pandas_udf(run, "array<bigint>")
-    return df.filter(F.col(vector).isNotNull()).withColumn("_b", buckets(F.col(vector))).select("*", F.posexplode("_b").alias("band", "bucket")).drop("_b")
+    def __init__(self, centres: np.ndarray, probes: int) -> None:
+        self.centres, self.probes = centres, probes
+
+    def nearest(self, m: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(m @ self.centres.T), axis=1, kind="stable")[:, :n]
+
+
+def fit_cells(base: DataFrame, key: str, vector: str, cells: int | None = None, steps: int = 12, seed: int = 7, k: int = 10, target: float = TARGET) -> Cells:
+    """About the square root of the rows many cells, by spherical k-means on a bounded sample (SAMPLE rows).
+
+    As many cells are to be searched as hold the share `target` of the k nearest sample rows of 400 sample rows: few where
+    vectors lie in clusters, most of them where they lie evenly in many dimensions.
+    """
+    known = base.filter(F.col(vector).isNotNull())
+    cells = cells or int(min(MOST_CELLS, max(1, round(known.count() ** 0.5))))
+    rows = known.orderBy(F.xxhash64(key), key).limit(SAMPLE).select(vector).toPandas()[vector]
+    if not len(rows):
+        return Cells(np.zeros((0, 0)), 0)
+    points = _unit(np.stack([np.asarray(x, dtype=np.float64) for x in rows]))
+    random = np.random.default_rng(seed)
+    centres = points[random.choice(len(points), min(cells, len(points)), replace=False)]
+    for _ in range(steps):
+        own = np.argmax(points @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, points)
+        moved = np.linalg.norm(sums, axis=1) > 0
+        centres[moved] = _unit(sums[moved])
+    own = np.argmax(points @ centres.T, axis=1)
+    asked = points[:400]
+    alike = asked @ points.T
+    np.fill_diagonal(alike, -np.inf)
+    true = np.argsort(-alike, axis=1)[:, : min(k, len(points) - 1)]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, own[true], axis=1).ravel())
+    return Cells(centres, int(needed[int(np.ceil(target * len(needed))) - 1]) + 1 if len(needed) else 1)
 
 
-def nearest_by_bands(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, bands: int = 48, bits: int = 5, dim: int = 64) -> DataFrame:
-    """(query, id, similarity, rank): approximate neighbours; every row is indexed, candidates share a bucket of any band."""
-    index = hyperplane_bands(base.select(F.col(key).alias("id"), F.col(vector).alias("v")), "v", bands, bits, dim)
-    asked = hyperplane_bands(queries.select(F.col(key).alias("query"), F.col(vector).alias("q")), "q", bands, bits, dim)
-    pairs = asked.select("query", "band", "bucket").join(index.select("id", "band", "bucket"), ["band", "bucket"]).filter("query <> id").select("query", "id").distinct()
-    both = pairs.join(base.select(F.col(key).alias("id"), F.col(vector).alias("v")), "id").join(queries.select(F.col(key).alias("query"), F.col(vector).alias("q")), "query")
-    scored = both.select("query", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("similarity"))
-    return top_per_key(scored, ["query"], [F.col("similarity").desc(), F.col("id")], k)
+def in_cells(rows: DataFrame, key: str, vector: str, cells: Cells, n: int = 1) -> DataFrame:
+    """(id, v, cell): every row with its nearest cell, or one row for each of its n nearest. Rows without a vector are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            order = cells.nearest(_matrix(batch.column("v")), n)
+            at = pa.array(np.repeat(np.arange(len(batch)), order.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(order.ravel())], ["id", "v", "cell"])
+
+    own = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
+    return own.mapInArrow(run, f"id bigint, v {dict(own.dtypes)['v']}, cell bigint")
+
+
+def insert(index: DataFrame, rows: DataFrame, key: str, vector: str, cells: Cells) -> DataFrame:
+    """The index with further rows in their cells; a row replaces one of the same id."""
+    new = in_cells(rows, key, vector, cells)
+    return index.join(rows.select(F.col(key).cast("bigint").alias("id")), "id", "left_anti").unionByName(new)
+
+
+def nearest_in_cells(index: DataFrame, queries: DataFrame, key: str, vector: str, cells: Cells, k: int, probes: int | None = None) -> DataFrame:
+    """(query, id, similarity, rank, candidates): the nearest of the rows in each query's nearest cells; candidates counts them."""
+    asked = in_cells(queries, key, vector, cells, probes or cells.probes).withColumnsRenamed({"id": "query", "v": "q"})
+    both = asked.join(index, "cell").filter("query <> id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            alike = np.round((_matrix(batch.column("q")) * _matrix(batch.column("v"))).sum(axis=1), 6)
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(alike)], ["query", "id", "similarity"])
+
+    scored = both.select("query", "id", "q", "v").mapInArrow(run, "query bigint, id bigint, similarity double")
+    seen = scored.withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query")))
+    return top_per_key(seen, ["query"], [F.col("similarity").desc(), F.col("id")], k)
+
+
+def edited_modes(modes: DataFrame, corrections: DataFrame, stated: DataFrame, share: float = 0.2) -> DataFrame:
+    """(profile, mode, weight): weights doubled, halved or struck out by corrections and made shares again; profiles that said
+    what they like give `share` to that (a mode of number null), all of it where no other mode is left.
+
+    modes: profile, mode, weight. corrections: profile, mode, word (more, less, not_me). stated: profile.
+    """
+    factor = F.when(F.col("word") == "more", 2.0).when(F.col("word") == "less", 0.5).when(F.col("word") == "not_me", 0.0).otherwise(1.0)
+    edited = modes.join(corrections, ["profile", "mode"], "left").withColumn("weight", F.col("weight") * factor).filter("weight > 0")
+    own = edited.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("profile"))).select("profile", "mode", "weight")
+    said = stated.select("profile").distinct()
+    kept = own.join(said.withColumn("said", F.lit(True)), "profile", "left").select("profile", "mode", F.when(F.col("said"), F.col("weight") * (1 - share)).otherwise(F.col("weight")).alias("weight"))
+    some = own.select("profile").distinct().withColumn("some", F.lit(True))
+    words = said.join(some, "profile", "left").select("profile", F.lit(None).cast(dict(modes.dtypes)["mode"]).alias("mode"), F.when(F.col("some"), share).otherwise(1.0).alias("weight"))
+    return kept.unionByName(words)
 
 
 def recall_at(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -118,22 +208,21 @@ def mean_vectors(df: DataFrame, key: str, vector: str, weight: Column) -> DataFr
 
 
 def spherical_kmeans(points: np.ndarray, weights: np.ndarray, k: int, steps: int = 25) -> np.ndarray:
-    """Cluster of each unit vector: farthest-first start at the heaviest point; an empty centre keeps its place; of equal
-    centres the last wins."""
-    centres = [points[int(np.argmax(weights))]]
-    while len(centres) < k:
-        near = np.max(points @ np.array(centres).T, axis=1)
-        centres.append(points[len(near) - 1 - int(np.argmin(near[::-1]))])
-    centres = np.array(centres)
+    """Cluster of each unit vector: start at the heaviest point, then always at the point farthest from all centres; an empty
+    centre keeps its place; ties go to the first point and centre."""
+    chosen = [int(np.argmax(weights))]
+    near = points @ points[chosen[0]]
+    while len(chosen) < k:
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, points @ points[chosen[-1]])
+    centres = points[chosen].copy()
     own = np.zeros(len(points), dtype=int)
     for _ in range(steps):
-        alike = points @ centres.T
-        own = k - 1 - np.argmax(alike[:, ::-1], axis=1)
-        for c in range(k):
-            if (own == c).any():
-                mean = (points[own == c] * weights[own == c, None]).sum(axis=0)
-                if (norm := np.linalg.norm(mean)) > 0:
-                    centres[c] = mean / norm
+        own = np.argmax(points @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, points * weights[:, None])
+        moved = np.linalg.norm(sums, axis=1) > 0
+        centres[moved] = _unit(sums[moved])
     return own
 
 

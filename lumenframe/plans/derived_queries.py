@@ -130,13 +130,15 @@ def fresh(spark: SparkSession, folder: str) -> DataFrame:
     return own.join(F.broadcast(now)).select("doc_id", freshness(age, kind).alias("state"))
 
 
-@query("op_v05_nearest_excluding", _E + """, s AS (SELECT b.vec_id, round(list_cosine_similarity(q.v, b.v), 6) AS similarity FROM e b, (SELECT v FROM e WHERE vec_id = 20) q WHERE b.vec_id <> 20 AND b.vec_id % 3 <> 0)
-  SELECT vec_id AS id, similarity, CAST(row_number() OVER (ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
+@query("op_v05_nearest_excluding", _E + """, s AS (SELECT q.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(q.v, b.v), 6) AS similarity FROM e q JOIN e b ON b.vec_id <> q.vec_id AND (b.vec_id + q.vec_id) % 50 <> 0 WHERE q.vec_id % 20 = 0)
+  SELECT query, id, similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
 def nearest_excluding(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbours of a seed outside an excluded set, which is removed before the search."""
+    """Neighbours of every twentieth vector without those it has met: a fiftieth of all, another for every seed."""
     own = table(spark, folder, "embeddings").dropDuplicates(["vec_id"])
-    met = own.filter("vec_id % 3 = 0 and vec_id <> 20").select("vec_id")
-    return V.nearest(own.join(met, "vec_id", "left_anti"), own.filter("vec_id = 20"), "vec_id", "embedding", 10).select("id", "similarity", "rank")
+    asked = own.filter("vec_id % 20 = 0")
+    fiftieth = F.pmod(-F.col("vec_id"), F.lit(50))
+    met = asked.select(F.col("vec_id").alias("query"), fiftieth.alias("r")).join(own.select(F.col("vec_id").alias("id"), F.pmod("vec_id", F.lit(50)).alias("r")), "r").drop("r")
+    return V.nearest_excluding(own, asked, "vec_id", "embedding", met, 10)
 
 
 @query("op_v11_agreement", """SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, sum(vec_id)::BIGINT AS checksum, sum(CASE WHEN len(embedding) = 64 THEN 1 ELSE 0 END)::BIGINT AS whole FROM embeddings""")

@@ -37,27 +37,54 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
     return V.nearest(_vectors(spark, folder), _asked(spark, folder), "vec_id", "embedding", 10)
 
 
-@query("op_v02_nearest_by_bands")
-def nearest_by_bands(spark: SparkSession, folder: str) -> DataFrame:
-    return V.nearest_by_bands(_vectors(spark, folder), _asked(spark, folder), "vec_id", "embedding", 10)
+def _indexed(spark: SparkSession, folder: str) -> tuple[DataFrame, V.Cells]:
+    """The vectors in their cells: an index made of the even ids first, with the odd ones inserted."""
+    own = _vectors(spark, folder)
+    cells = V.fit_cells(own, "vec_id", "embedding")
+    index = V.in_cells(own.filter("vec_id % 2 = 0"), "vec_id", "embedding", cells)
+    return materialize(V.insert(index, own.filter("vec_id % 2 = 1"), "vec_id", "embedding", cells), "index"), cells
+
+
+@query("op_v02_nearest_in_cells")
+def nearest_in_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Approximate neighbours of every twentieth vector: of the rows in its nearest cells."""
+    index, cells = _indexed(spark, folder)
+    return V.nearest_in_cells(index, _asked(spark, folder), "vec_id", "embedding", cells, 10)
 
 
-@query("op_v03_recall", "SELECT true AS enough")
+@query("op_v03_recall")
 def recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether the index finds at least nine tenths of the true neighbours."""
-    return V.recall_at(nearest_by_bands(spark, folder), nearest(spark, folder)).select((F.col("recall") >= 0.9).alias("enough"))
+    """Queries, the share of true neighbours that the index finds, and the share of all rows it looks at."""
+    found = materialize(nearest_in_cells(spark, folder), "found")
+    seen = found.groupBy("query").agg(F.max("candidates").alias("c")).agg(F.avg("c").alias("c"))
+    rows = _vectors(spark, folder).agg(F.count(F.lit(1)).alias("rows"))
+    both = V.recall_at(found, nearest(spark, folder)).join(F.broadcast(seen)).join(F.broadcast(rows))  # single rows
+    return both.select("queries", F.round("recall", 4).alias("recall"), F.round(F.col("c") / F.col("rows"), 4).alias("looked_at"))
 
 
-@query("op_v09_prior_rank", _E + """, s AS (SELECT vec_id, label, list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 0)) + 0.5 * ln(1 + vec_id) / ln(1 + (SELECT max(vec_id) FROM e)) AS s FROM e)
-  SELECT vec_id, round(s, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY round(s, 6) DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 5""")
+@query("op_v09_prior_rank", _E + """, m AS (SELECT max(vec_id) AS most FROM e)
+  SELECT query, id, similarity AS score, rank FROM (SELECT q.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(q.v, b.v) + 0.5 * log10(1 + b.vec_id) / log10(1 + most), 6) AS similarity,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, b.v) + 0.5 * log10(1 + b.vec_id) / log10(1 + most), 6) DESC, b.vec_id) AS INT) AS rank FROM e q JOIN e b ON q.vec_id <> b.vec_id, m WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10)""")
 def prior_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """Likeness to one vector with a logarithmic prior, best of every label."""
+    """Likeness to every twentieth vector with a logarithmic prior; the id stands for votes."""
+    own = _vectors(spark, folder)
+    own = own.join(F.broadcast(own.agg(F.max("vec_id").alias("most"))))  # one row
+    prior = 0.5 * F.log10(1 + F.col("vec_id")) / F.log10(1 + F.col("most"))
+    return V.nearest(own, _asked(spark, folder), "vec_id", "embedding", 10, prior).withColumnRenamed("similarity", "score")
+
+
+_SHOWN_VECTORS = """, n AS (SELECT count(DISTINCT vec_id) AS n FROM embeddings), tv AS (SELECT DISTINCT item_id, v FROM media_items, n JOIN e ON vec_id = item_id % n)
+"""
+
+
+@query("op_k09_similar_titles", _E + _SHOWN_VECTORS + """SELECT q.item_id AS query, b.item_id AS id, round(list_cosine_similarity(q.v, b.v), 6) AS similarity,
+  CAST(row_number() OVER (PARTITION BY q.item_id ORDER BY round(list_cosine_similarity(q.v, b.v), 6) DESC, b.item_id) AS INT) AS rank FROM tv q JOIN tv b ON q.item_id <> b.item_id WHERE q.item_id % 20 = 0 QUALIFY rank <= 10""")
+def similar_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """The titles most like every twentieth one, itself left out."""
     own = _vectors(spark, folder)
-    one = own.filter("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    most = own.agg(F.max("vec_id").alias("most"))
-    score = V.cosine(F.col("q"), F.col("embedding")) + 0.5 * F.log(1 + F.col("vec_id")) / F.log(1 + F.col("most"))
-    scored = own.join(F.broadcast(one)).join(F.broadcast(most)).select("vec_id", "label", F.round(score, 6).alias("score"))  # single rows
-    return top_per_key(scored, ["label"], [F.col("score").desc(), F.col("vec_id")], 5).select("vec_id", "score", "rank")
+    n = max(own.count(), 1)
+    items = titles(spark, folder).select("item_id", F.pmod("item_id", F.lit(n)).alias("vec_id")).distinct().join(own.select("vec_id", "embedding"), "vec_id")
+    return V.nearest(items, items.filter("item_id % 20 = 0"), "item_id", "embedding", 10)
 
 
 @query("op_x14_quantise", _E + """, p AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS peak FROM e), i AS (SELECT vec_id, v, list_transform(v, lambda x: round(x * 127 / peak)) AS b FROM p)

@@ -25,8 +25,31 @@ def test_nearest_against_brute_force_and_recall(spark):
     for i in range(0, 400, 20):
         order = [j for j in np.lexsort((np.arange(400), -np.round(u @ u[i], 6))) if j != i][:5]
         assert list(map(int, order)) == [got[i][k] for k in range(1, 6)]
-    near = vectors.nearest_by_bands(df.filter("vec_id < 400"), q.filter("vec_id < 400"), "vec_id", "embedding", 5)
-    assert vectors.recall_at(near, exact.filter("query < 400 and id < 400")).first().recall >= 0.9
+
+
+def test_cells_find_neighbours_and_take_inserts(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    m = (rng.standard_normal((12, 16))[:, None, :] + 0.4 * rng.standard_normal((12, 50, 16))).reshape(600, 16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(901, None)], "vec_id bigint, embedding array<float>")
+    q = df.filter("vec_id % 20 = 0")
+    exact = vectors.nearest(df, q, "vec_id", "embedding", 5)
+    centres = vectors.fit_cells(df, "vec_id", "embedding")
+    index = vectors.in_cells(df.filter("vec_id < 300"), "vec_id", "embedding", centres)
+    index = vectors.insert(index, df.filter("vec_id >= 250"), "vec_id", "embedding", centres)
+    assert index.count() == index.select("id").distinct().count() == 600
+    near = vectors.nearest_in_cells(index, q, "vec_id", "embedding", centres, 5)
+    assert vectors.recall_at(near, exact).first().recall >= 0.95 and near.agg(F.max("candidates")).first()[0] < 500
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    key = lambda rows: sorted((r.query, r.id, r["rank"]) for r in rows)
+    assert key(vectors.nearest(df, q, "vec_id", "embedding", 5).collect()) == key(exact.collect())
+    assert vectors.fit_cells(df.limit(0), "vec_id", "embedding").probes == 0
+
+
+def test_edited_modes(spark):
+    modes = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (2, 1, 1.0), (3, 1, 0.4), (3, 2, 0.6)], "profile int, mode int, weight double")
+    words = spark.createDataFrame([(1, 1, "more"), (2, 1, "not_me"), (3, 2, "less")], "profile int, mode int, word string")
+    got = {(r.profile, r.mode): round(r.weight, 4) for r in vectors.edited_modes(modes, words, spark.createDataFrame([(2,), (3,), (3,), (4,)], "profile int")).collect()}
+    assert got == {(1, 1): 0.6667, (1, 2): 0.3333, (2, None): 1.0, (3, 1): round(0.4 / 0.7 * 0.8, 4), (3, 2): round(0.3 / 0.7 * 0.8, 4), (3, None): 0.2, (4, None): 1.0}
 
 
 def test_modes_find_separate_directions():
