@@ -173,41 +173,6 @@ def axis_score(spark: SparkSession, folder: str) -> DataFrame:
     return w.groupBy("user").agg(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), 6).alias("score"))
 
 
-_POOL = """WITH d AS (SELECT DISTINCT rec_id, profile_id, item_id, loved_with FROM recommendations WHERE profile_id IS NOT NULL), s AS (SELECT profile_id, item_id, sum(e.x.score) AS s FROM d, unnest(loved_with) AS e(x) WHERE e.x.score IS NOT NULL GROUP BY 1, 2),
-  f AS (SELECT item_id, max(votes) AS votes, max(rating) AS rating FROM media_items GROUP BY 1)
-"""
-
-
-@query("op_r07_hybrid_score", _POOL + """SELECT profile_id, item_id, round(0.5 * s / max(s) OVER (PARTITION BY profile_id) + 0.2 * coalesce(rating, 50) / 100 + 0.1 * ln(1 + coalesce(votes, 0)) / 10, 6) AS score FROM s JOIN f USING (item_id)""")
-def hybrid_score(spark: SparkSession, folder: str) -> DataFrame:
-    """A linear score of loved-with, rating and votes; the greatest loved-with sum is the profile's own."""
-    shown = table(spark, folder, "recommendations").select("rec_id", "profile_id", "item_id", "loved_with").filter("profile_id is not null").distinct()
-    sums = shown.filter("item_id is not null").select("profile_id", "item_id", F.explode("loved_with.score").alias("x")).filter("x is not null").groupBy("profile_id", "item_id").agg(F.sum("x").alias("s"))
-    most = sums.groupBy("profile_id").agg(F.max("s").alias("most"))
-    facts = table(spark, folder, "media_items").groupBy("item_id").agg(F.max("votes").alias("votes"), F.max("rating").alias("rating"))
-    score = 0.5 * F.col("s") / F.col("most") + 0.2 * F.coalesce("rating", F.lit(50)) / 100 + 0.1 * F.log(1 + F.coalesce("votes", F.lit(0))) / 10
-    return sums.join(most, "profile_id").join(facts, "item_id").select("profile_id", "item_id", F.round(score, 6).alias("score"))
-
-
-@query("op_r12_bridge", """WITH g AS (SELECT DISTINCT item_id, trim(x.g) AS genre FROM media_items, unnest(string_split(genres, ',')) AS x(g)), liked AS (SELECT DISTINCT profile_id, e.x.item_id AS item_id FROM recommendations, unnest(loved_with) AS e(x) WHERE profile_id IS NOT NULL AND e.x.item_id IS NOT NULL),
-  taste AS (SELECT profile_id, genre, count(*) AS n FROM liked JOIN g USING (item_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY count(*) DESC, genre) <= 2)
-  SELECT profile_id, min(genre) AS one, max(genre) AS two, (SELECT count(*) FROM (SELECT item_id FROM g WHERE genre = min(t.genre) INTERSECT SELECT item_id FROM g WHERE genre = max(t.genre))) AS bridges FROM taste t GROUP BY 1 HAVING count(*) = 2""")
-def bridge(spark: SparkSession, folder: str) -> DataFrame:
-    """The two genres a profile likes most, and how many titles lie in both; genre pairs are counted once for all profiles."""
-    g = titles(spark, folder).select("item_id", F.explode(F.array_distinct(F.transform(F.split("genres", ","), F.trim))).alias("genre"))
-    shown = table(spark, folder, "recommendations").filter("profile_id is not null").select("profile_id", F.explode("loved_with.item_id").alias("item_id"))
-    n = shown.filter("item_id is not null").distinct().join(g, "item_id").groupBy("profile_id", "genre").agg(F.count(F.lit(1)).alias("n"))
-    two = top_per_key(n, ["profile_id"], [F.col("n").desc(), F.col("genre")], 2).groupBy("profile_id").agg(F.min("genre").alias("one"), F.max("genre").alias("two"), F.count(F.lit(1)).alias("k")).filter("k = 2")
-    lists = g.groupBy("item_id").agg(F.array_sort(F.collect_set("genre")).alias("gs"))  # a title's few genres
-    pairs = lists.select(F.posexplode("gs").alias("at", "one"), "gs").select("one", F.explode(F.slice("gs", F.col("at") + 2, F.size("gs"))).alias("two")).groupBy("one", "two").agg(F.count(F.lit(1)).alias("bridges"))
-    return two.join(pairs, ["one", "two"], "left").select("profile_id", "one", "two", F.coalesce("bridges", F.lit(0)).alias("bridges"))
-
-
-@query("op_r15_deep_cut", TITLES_SQL + "SELECT item_id, rating, votes FROM titles WHERE rating >= 75 AND votes BETWEEN 20 AND 60 ORDER BY rating DESC, votes DESC, item_id LIMIT 100")
-def deep_cut(spark: SparkSession, folder: str) -> DataFrame:
-    return titles(spark, folder).filter("rating >= 75 and votes between 20 and 60").orderBy(_desc("rating"), _desc("votes"), "item_id").limit(100).select("item_id", "rating", "votes")
-
-
 @query("op_r19_outcomes", _EV + """, s AS (SELECT user_id, item, max(CASE event_type WHEN 'purchase' THEN 4 WHEN 'error' THEN 3 WHEN 'view' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) AS k FROM ev GROUP BY 1, 2)
   SELECT user_id, item, CASE k WHEN 4 THEN 1.0 WHEN 3 THEN 0.0 WHEN 2 THEN 0.6 WHEN 1 THEN 0.3 ELSE 0.5 END::DOUBLE AS reward FROM s""")
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:

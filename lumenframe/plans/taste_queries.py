@@ -167,15 +167,6 @@ def best_edge(spark: SparkSession, folder: str) -> DataFrame:
     return edges.groupBy("item_id", "neighbour").agg(F.max("score").alias("score"), F.countDistinct("source").alias("sources"))
 
 
-@query("op_r05_candidate_pool", """WITH d AS (SELECT DISTINCT rec_id, profile_id, item_id, loved_with FROM recommendations), s AS (SELECT profile_id, item_id, sum(e.x.score) AS s, count(DISTINCT rec_id) AS n FROM d, unnest(loved_with) AS e(x) WHERE e.x.score IS NOT NULL GROUP BY 1, 2)
-  SELECT profile_id, item_id, round(s, 6) AS score, n AS records, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY round(s, 6) DESC, item_id NULLS LAST) AS INT) AS rank FROM s QUALIFY rank <= 20""")
-def candidate_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles by the summed score of the loved ones that led to them; a profile's sums are pre-aggregated by title."""
-    shown = table(spark, folder, "recommendations").select("rec_id", "profile_id", "item_id", "loved_with").distinct()
-    sums = shown.select("rec_id", "profile_id", "item_id", F.explode("loved_with.score").alias("s")).filter("s is not null").groupBy("profile_id", "item_id").agg(F.round(F.sum("s"), 6).alias("score"), F.countDistinct("rec_id").alias("records"))
-    return top_per_key(sums, ["profile_id"], [F.col("score").desc(), F.col("item_id").asc_nulls_last()], 20)
-
-
 _WEIGHT = "CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.5 WHEN 'view' THEN 0.3 WHEN 'click' THEN 0.2 WHEN 'error' THEN -1.0 END::DOUBLE"
 _SIGNAL = "WITH " + EVENTS_SQL + f""", w AS (SELECT user_id, item, {_WEIGHT} AS base, greatest(date_diff('day', ts::DATE, (SELECT max(ts)::DATE FROM ev)), 0) AS age,
   count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id, item) AS bought, event_type FROM ev),
@@ -249,35 +240,6 @@ def allocation(spark: SparkSession, folder: str) -> DataFrame:
     return borrowed(spark, folder).groupBy("context").applyInPandas(run, "context string, arm bigint, places int")
 
 
-@query("op_r08_rails")
-def rails(spark: SparkSession, folder: str) -> DataFrame:
-    """Diversified rails of every profile from its candidate pool, two per kind and five per year."""
-    own = _vectors(spark, folder)
-    n = max(own.count(), 1)
-    facts = titles(spark, folder).groupBy("item_id").agg(F.max("kind").alias("kind"), F.max("year").alias("year"))
-    pool = candidate_pool(spark, folder).join(facts, "item_id").withColumn("vec_id", F.pmod("item_id", F.lit(n)))
-    pool = pool.join(own.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(F.col("profile_id").alias("profile"), F.col("item_id").alias("item"), "score", "vector", "kind", "year")
-    return C.rail(pool.filter("profile is not null"), 10, {"kind": 4, "year": 2})
-
-
-@query("op_r14_canon", TITLES_SQL + "SELECT item_id, rating, votes FROM titles WHERE rating >= 78 AND votes >= 100 ORDER BY rating DESC, votes DESC, item_id LIMIT 100")
-def canon(spark: SparkSession, folder: str) -> DataFrame:
-    return titles(spark, folder).filter("rating >= 78 and votes >= 100").orderBy(F.col("rating").desc(), F.col("votes").desc(), "item_id").limit(100).select("item_id", "rating", "votes")
-
-
-@query("op_r13_blind_spot", """WITH met AS (SELECT DISTINCT profile_id, g AS genre FROM recommendations r JOIN media_items m USING (item_id), unnest(string_split(m.genres, ',')) AS x(g)),
-  every AS (SELECT DISTINCT genre FROM met), p AS (SELECT profile_id, count(*) AS n FROM (SELECT DISTINCT profile_id, item_id FROM recommendations) GROUP BY 1 HAVING count(*) >= 10)
-  SELECT profile_id, genre FROM (SELECT profile_id, genre FROM p, every) ANTI JOIN met USING (profile_id, genre)""")
-def blind_spot(spark: SparkSession, folder: str) -> DataFrame:
-    """Genres that a profile with ten titles or more has never met; genres are a bounded list, exploded from one row."""
-    shown = table(spark, folder, "recommendations").select("profile_id", "item_id").distinct()
-    genres = titles(spark, folder).select("item_id", F.explode(F.split("genres", ",")).alias("genre"))
-    met = shown.join(genres, "item_id").select("profile_id", "genre").distinct()
-    every = met.agg(F.collect_set("genre").alias("genres"))  # one row of a few dozen names
-    busy = shown.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10")
-    return busy.join(F.broadcast(every)).select("profile_id", F.explode("genres").alias("genre")).join(met, ["profile_id", "genre"], "left_anti")
-
-
 _METRICS_SQL = """, h AS (SELECT t."user", rank FROM test t LEFT JOIN top USING ("user", item)),
   u AS (SELECT "user", count(*) AS n, count(rank) AS hit, sum(1 / log2(rank + 1)) AS dcg, max(1.0::DOUBLE / rank) AS rr FROM h GROUP BY 1),
   i AS (SELECT *, (SELECT sum(1 / log2(k + 1)) FROM range(1, 21) x(k) WHERE k <= n) AS ideal FROM u)
