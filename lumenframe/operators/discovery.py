@@ -81,7 +81,7 @@ def hybrid_scores(parts: DataFrame) -> DataFrame:
     lift = {c: F.round(F.col(c) - F.col(f"m_{c}"), 9) for c in terms}
     most = F.greatest(*lift.values())
     reason = F.coalesce(*[F.when((x == most) & (most > 0), c) for c, x in lift.items()])
-    return both.select("profile", "item", F.round(sum((F.col(c) for c in terms), F.lit(0.0)), 7).alias("score"), reason.alias("reason"))
+    return both.select("profile", "item", F.round(sum((F.col(c) for c in terms), F.lit(0.0)), 9).alias("score"), reason.alias("reason"))
 
 
 def outside_axes(inside: DataFrame, regions: DataFrame, taste: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ ax AS (SELECT profile, item, least(1, sum(share)) AS axes FROM (SELECT profile,
 terms AS (SELECT profile, item, round(coalesce((cos + 1) / 2, 0), 9)::DOUBLE AS near, round(0.5 * coalesce(s / ml.most, 0), 9)::DOUBLE AS loved, round(0.1 * coalesce(pm.n::DOUBLE / mp.most, 0), 9)::DOUBLE AS people, round(0.2 * coalesce(axes, 0), 9)::DOUBLE AS axes, CASE WHEN dc.imdb_id IS NOT NULL THEN 0.1 ELSE 0 END::DOUBLE AS playable
   FROM pool LEFT JOIN nrm USING (profile, item) LEFT JOIN led USING (profile, item) LEFT JOIN ml USING (profile) LEFT JOIN mk USING (item) LEFT JOIN pm USING (profile, maker) LEFT JOIN mp USING (profile) LEFT JOIN ax USING (profile, item) LEFT JOIN t USING (item) LEFT JOIN (SELECT DISTINCT imdb_id FROM documents) dc USING (imdb_id)),
 mid AS (SELECT profile, quantile_disc(near, 0.5) AS near, quantile_disc(loved, 0.5) AS loved, quantile_disc(people, 0.5) AS people, quantile_disc(axes, 0.5) AS axes, quantile_disc(playable, 0.5) AS playable FROM terms GROUP BY 1),
-lift AS (SELECT x.profile, item, round(x.near + x.loved + x.people + x.axes + x.playable, 7) AS score, round(x.near - y.near, 9) AS l1, round(x.loved - y.loved, 9) AS l2, round(x.people - y.people, 9) AS l3, round(x.axes - y.axes, 9) AS l4, round(x.playable - y.playable, 9) AS l5 FROM terms x JOIN mid y USING (profile))
+lift AS (SELECT x.profile, item, round(x.near + x.loved + x.people + x.axes + x.playable, 9) AS score, round(x.near - y.near, 9) AS l1, round(x.loved - y.loved, 9) AS l2, round(x.people - y.people, 9) AS l3, round(x.axes - y.axes, 9) AS l4, round(x.playable - y.playable, 9) AS l5 FROM terms x JOIN mid y USING (profile))
 """
 
 
@@ -127,13 +127,13 @@ def rails(spark: SparkSession, folder: str) -> DataFrame:
     mode no more than its quota."""
     g = _Gathered(spark, folder)
     best = top_per_key(D.hybrid_scores(_parts(spark, folder, g, materialize(g.pool(), "pool"))), ["profile"], [F.col("score").desc(), F.col("item")], 60)
-    quota = C.quotas(g.modes.select("profile", "mode", "w"), ["profile"], "mode", "w", 10).select("profile", F.col("mode").alias("of"), F.col("places").alias("quota"))
+    quota = C.quotas(g.modes.select("profile", "mode", "w"), ["profile"], "mode", "w", 10).select(F.col("profile").alias("owner"), F.col("mode").alias("of"), F.col("places").alias("quota"))
     own = table(spark, folder, "embeddings").dropDuplicates(["vec_id"])
     facts = g.titles.select("item", "year", F.pmod("item", F.lit(max(own.count(), 1))).alias("vec_id")).join(own.select("vec_id", F.col("embedding").alias("vector"), F.col("label").alias("mode")), "vec_id")
     pool = best.join(facts, "item").join(g.makers, "item", "left")
     # the nth best of a mode beyond its quota waits: only as many of each mode as it has places come in
     placed = pool.withColumn("n", F.row_number().over(Window.partitionBy("profile", "mode").orderBy("rank")))
-    inside = placed.join(quota, (placed.profile == quota.profile) & (placed.mode == quota.of), "left").drop(quota.profile).filter(F.col("n") <= 3 * F.coalesce("quota", F.lit(1)))
+    inside = placed.join(quota, (F.col("profile") == F.col("owner")) & (F.col("mode") == F.col("of")), "left").filter(F.col("n") <= 3 * F.coalesce("quota", F.lit(1)))
     return C.rail(inside.select("profile", "item", "score", "vector", F.col("maker").alias("franchise"), "year"), 10, {"franchise": 2, "year": 5})
 
 
