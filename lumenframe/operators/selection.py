@@ -72,3 +72,71 @@ def normal_cdf(x: Column) -> Column:
 def stall_chance(need: Column, throughput: Column, spread: Column, thin: Column) -> Column:
     """Chance that a stream stalls: the needed rate with a margin against throughput and its uncertainty."""
     return normal_cdf((1.05 * need - throughput) / F.sqrt(spread * spread + thin * thin))
+
+
+#: Weights of a copy's terms.
+COPY_WEIGHTS = {
+    "language": 4.0, "quality": 3.0, "plausibility": 3.0, "health": 2.0, "duration": 2.0, "compatibility": 2.0, "throughput": 2.0, "encoding": 1.0, "subtitles": 0.5,
+}
+
+
+def copy_terms(language: str, wanted_rank: int, best_rank: int, speed: float) -> dict[str, Column]:
+    """The nine terms of a copy, each from -1 to 1, from its columns: language, rank (0 to 3, null unknown), mb, minutes, runtime,
+    codec, seeds, local, name, has_subtitles. speed is in megabytes a second. Unknown facts give 0."""
+    c = F.col
+    floor = F.when(c("rank") >= 3, 12.0).when(c("rank") == 2, 5.0).when(c("rank") == 1, 3.0).otherwise(1.0) * F.when(c("codec").isin("h265", "av1"), 0.6).otherwise(1.0)
+    dense, ratio = F.try_divide("mb", "minutes"), F.try_divide("minutes", "runtime")
+    room = F.try_divide(F.lit(speed), F.try_divide("mb", c("minutes") * 60))
+    words = F.split(F.lower("name"), "[^a-z0-9]+")
+    fake = F.lower("name").rlike(r"\.(?:exe|scr|bat|cmd|msi|lnk|zip|rar|7z)\z")
+    camera = F.arrays_overlap(words, F.array(*map(F.lit, ("cam", "camrip", "hdcam", "ts", "hdts", "telesync"))))
+    sound = F.arrays_overlap(words, F.array(*map(F.lit, ("bluray", "bdrip", "remux", "webdl", "webrip", "web", "hdtv", "x264", "x265"))))
+    terms = {
+        "language": F.when(c("language").isNull(), 0.0).when(c("language") == language, 1.0).otherwise(-1.0),
+        "quality": F.when(c("rank").isNull(), 0.0).when(c("rank") > best_rank, -1.0).when(c("rank") == wanted_rank, 1.0).when(c("rank") < wanted_rank, 1 - 0.5 * (wanted_rank - c("rank"))).otherwise(0.5),
+        "plausibility": F.when(dense.isNull(), 0.0).when(dense < floor, -1.0).when(dense < 2 * floor, 0.0).otherwise(1.0),
+        "duration": F.when(ratio.isNull(), 0.0).when(ratio < 0.8, -1.0).when(ratio > 1.3, 0.0).otherwise(1.0),
+        "encoding": F.when(fake | camera, -1.0).when(sound, 1.0).otherwise(0.0),
+        "health": F.when(c("local"), 1.0).when(c("seeds").isNull(), 0.0).otherwise(swarm_health(c("seeds"))),
+        "compatibility": F.when(c("codec") == "h264", 1.0).when(c("codec").isin("h265", "av1"), -0.5).when(c("codec") == "vp9", 0.5).otherwise(0.0),
+        "throughput": F.when(c("local"), 1.0).when(room.isNull(), 0.0).when(room >= 1.5, 1.0).when(room >= 1, 0.0).otherwise(-1.0),
+        "subtitles": F.when(c("has_subtitles"), 1.0).otherwise(0.0),
+    }
+    return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in terms.items()}
+
+
+def rank_copies(copies: DataFrame, keys: list[str], tie: list[Column], language: str, wanted_rank: int, best_rank: int, speed: float) -> DataFrame:
+    """copies with the nine terms, total and rank: fakes last, then those that lack the language, local ones first, those that
+    start badly (no seeds to speak of, or too slow) later, then by distance from the wanted quality, points and tie."""
+    terms = copy_terms(language, wanted_rank, best_rank, speed)
+    scored = copies.withColumns(terms if not set(terms) & set(copies.columns) - {"language"} else {f"{k}": v for k, v in terms.items() if k != "language"} | {"t_language": terms["language"]})
+    name = lambda k: "t_language" if k == "language" and "t_language" in scored.columns else k
+    total = F.round(sum((w * F.col(name(k)) for k, w in COPY_WEIGHTS.items()), F.lit(0.0)), 6)
+    sunk = (F.col("plausibility") == -1) | (F.col("duration") == -1) | (F.col("encoding") == -1)
+    weak = (F.col("health") < 0) | (F.col("throughput") == -1)
+    off = F.abs(F.coalesce("rank", F.lit(wanted_rank)) - wanted_rank)
+    order = [sunk, F.col(name("language")) == -1, ~F.coalesce("local", F.lit(False)), weak, off, F.col("total").desc(), *tie]
+    return scored.withColumn("total", total).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def choose_file(files: DataFrame, key: str, season: str, episode: str) -> DataFrame:
+    """(key, path, size): of each bundle's videos that are no extras (or of all, if all are) the largest, of the wanted episode
+    where one is wanted. files: key, path, size, wanted season and episode (null is any), video, extra, and the path's own
+    file_season and file_episode."""
+    video = files.filter("video").withColumn("features", F.max((~F.col("extra")).cast("int")).over(Window.partitionBy(key)))
+    pool = video.filter((F.col("features") == 0) | ~F.col("extra"))
+    fits = F.col(episode).isNull() | ((F.col("file_episode") == F.col(episode)) & F.coalesce(F.col("file_season") == F.col(season), F.col(season).isNull()))
+    best = pool.filter(F.coalesce(fits, F.lit(False))).groupBy(key).agg(F.max_by(F.struct("path", "size"), F.struct("size", (F.lit("")), "path")).alias("b"))
+    return best.select(key, "b.path", "b.size")
+
+
+def choose_backfill(candidates: DataFrame, query: str, words: str, known: DataFrame) -> DataFrame:
+    """(query, title, year): for every search the first dated candidate that holds all its words, an exact name before others;
+    none where the catalogue (known: name, year) has that name in that year or one of them is undated.
+
+    candidates: query, pos, title, year, and as arrays the search's words and the title's (`has`).
+    """
+    fit = candidates.filter(F.col("year").isNotNull() & (F.size(F.array_except(words, "has")) == 0))
+    best = fit.groupBy(query).agg(F.min_by(F.struct("title", "year", F.array_join("has", " ").alias("name")), F.struct(F.col("has") != F.col(words), F.col("pos"))).alias("b")).select(query, "b.*")
+    same = (F.col("k.name") == F.col("c.name")) & F.coalesce(F.col("k.year") == F.col("c.year"), F.lit(True))
+    return best.alias("c").join(known.alias("k"), same, "left_anti").select(query, "title", "year")

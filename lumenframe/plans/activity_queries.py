@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.filenames import parse_filename
+from lumenframe.functions.filenames import parse_path
 from lumenframe.operators import folds, timeseries
 from lumenframe.operators import selection as S
 from lumenframe.plans.base import EVENTS_SQL, TITLES_SQL, Registry, events, titles
@@ -75,23 +75,12 @@ def hourly_mean(spark: SparkSession, folder: str) -> DataFrame:
     return each.groupBy("hour").agg(F.round(F.max_by("mean", F.struct("ts", "event_id")), 6).alias("mean"), F.count(F.lit(1)).alias("events"))
 
 
-@query("op_st09_refresh", """WITH o AS (SELECT imdb_id, max(votes) AS votes FROM title_snapshots WHERE mirror_id = 'm00000' GROUP BY 1), n AS (SELECT DISTINCT imdb_id, votes FROM media_items)
+@query("op_st09_refresh", """WITH o AS (SELECT imdb_id, votes AS votes FROM title_snapshots WHERE imdb_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY imdb_id ORDER BY loaded_at DESC NULLS LAST, votes DESC NULLS LAST) = 1), n AS (SELECT DISTINCT imdb_id, votes FROM media_items)
   SELECT n.imdb_id, n.votes, CASE WHEN o.votes IS DISTINCT FROM n.votes AND o.imdb_id IS NOT NULL THEN o.votes END AS previous_votes, CASE WHEN o.imdb_id IS NULL THEN 'new' WHEN o.votes IS DISTINCT FROM n.votes THEN 'moved' ELSE 'same' END AS state
   FROM n LEFT JOIN o USING (imdb_id)""")
 def refresh(spark: SparkSession, folder: str) -> DataFrame:
-    """A refresh against what was known: new rows, and the previous value only where it moved."""
-    old = table(spark, folder, "title_snapshots").filter("mirror_id = 'm00000'").groupBy("imdb_id").agg(F.max("votes").alias("old"), F.lit(True).alias("known"))
-    both = table(spark, folder, "media_items").select("imdb_id", "votes").distinct().join(old, "imdb_id", "left")
-    moved = F.col("known").isNotNull() & ~F.col("old").eqNullSafe(F.col("votes"))
-    state = F.when(F.col("known").isNull(), "new").when(moved, "moved").otherwise("same")
-    return both.select("imdb_id", "votes", F.when(moved, F.col("old")).alias("previous_votes"), state.alias("state"))
-
-
-@query("op_st09_refresh_all", """WITH o AS (SELECT imdb_id, votes AS votes FROM title_snapshots WHERE imdb_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY imdb_id ORDER BY loaded_at DESC NULLS LAST, votes DESC NULLS LAST) = 1), n AS (SELECT DISTINCT imdb_id, votes FROM media_items)
-  SELECT n.imdb_id, n.votes, CASE WHEN o.votes IS DISTINCT FROM n.votes AND o.imdb_id IS NOT NULL THEN o.votes END AS previous_votes, CASE WHEN o.imdb_id IS NULL THEN 'new' WHEN o.votes IS DISTINCT FROM n.votes THEN 'moved' ELSE 'same' END AS state
-  FROM n LEFT JOIN o USING (imdb_id)""")
-def refresh_all(spark: SparkSession, folder: str) -> DataFrame:
-    """refresh() against what any mirror was known to hold: the row loaded last in all dumps of all mirrors."""
+    """A refresh against what was known, the row loaded last in all dumps of all mirrors: new rows, and the previous value only where
+    it moved."""
     old = table(spark, folder, "title_snapshots").filter("imdb_id is not null").groupBy("imdb_id").agg(F.max(F.struct("loaded_at", "votes")).alias("old"))
     both = table(spark, folder, "media_items").select("imdb_id", "votes").distinct().join(old, "imdb_id", "left")
     moved = F.col("old").isNotNull() & ~F.col("old.votes").eqNullSafe(F.col("votes"))
@@ -197,26 +186,38 @@ def merge_copies(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("imdb_id", F.array_join("lang", "|").alias("langs"), "n_chars", "copies")
 
 
-_COPIES = """WITH c AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 10 AS mb, l_quantity * 4 AS minutes, CASE l_linenumber % 4 WHEN 0 THEN 2160 WHEN 1 THEN 1080 WHEN 2 THEN 720 ELSE 480 END AS height, l_suppkey % 50 AS seeds FROM lineitem),
- p AS (SELECT *, CASE WHEN mb / minutes < CASE WHEN height >= 2160 THEN 12 WHEN height >= 1080 THEN 5 WHEN height >= 720 THEN 3 ELSE 1 END THEN 0.0 WHEN minutes / 100 < 0.8 THEN 0.0 WHEN minutes / 100 > 1.3 THEN 0.5 ELSE 1.0 END::DOUBLE AS plausible,
-   (seeds - 5)::DOUBLE / (seeds + 5) AS health FROM c)
+_COPIES = """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / 10.0::DOUBLE AS mb, l_quantity * 4 AS minutes, 100.0::DOUBLE AS runtime, 3 - l_linenumber % 4 AS rank, CASE l_suppkey % 5 WHEN 0 THEN 'h264' WHEN 1 THEN 'h265' WHEN 2 THEN 'av1' WHEN 3 THEN 'vp9' END AS codec,
+  l_suppkey % 50 AS seeds, l_partkey % 11 = 0 AS local, CASE l_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' END AS lang, CASE l_suppkey % 7 WHEN 0 THEN 'a.cam.mkv' WHEN 1 THEN 'a.zip' WHEN 2 THEN 'a.web.x264.mkv' ELSE 'a.mkv' END AS name, l_partkey % 2 = 0 AS subs FROM lineitem),
+ f AS (SELECT *, CASE WHEN rank >= 3 THEN 12.0 WHEN rank = 2 THEN 5.0 WHEN rank = 1 THEN 3.0 ELSE 1.0 END::DOUBLE * CASE WHEN codec IN ('h265', 'av1') THEN 0.6 ELSE 1.0 END::DOUBLE AS floor, mb / minutes AS dense, minutes / runtime AS ratio, 0.8::DOUBLE / (mb / (minutes * 60)) AS room FROM c),
+ p AS (SELECT *, CASE WHEN lang IS NULL THEN 0.0 WHEN lang = 'en' THEN 1.0 ELSE -1.0 END::DOUBLE AS language, CASE WHEN rank > 2 THEN -1.0 WHEN rank = 2 THEN 1.0 ELSE 1 - 0.5 * (2 - rank) END::DOUBLE AS quality, CASE WHEN dense < floor THEN -1.0 WHEN dense < 2 * floor THEN 0.0 ELSE 1.0 END::DOUBLE AS plausibility,
+  CASE WHEN ratio < 0.8 THEN -1.0 WHEN ratio > 1.3 THEN 0.0 ELSE 1.0 END::DOUBLE AS duration, CASE WHEN l_suppkey % 7 < 2 THEN -1.0 WHEN l_suppkey % 7 = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS encoding, CASE WHEN local THEN 1.0 ELSE (seeds - 5)::DOUBLE / (seeds + 5) END::DOUBLE AS health,
+  CASE WHEN codec = 'h264' THEN 1.0 WHEN codec IN ('h265', 'av1') THEN -0.5 WHEN codec = 'vp9' THEN 0.5 ELSE 0.0 END::DOUBLE AS compatibility, CASE WHEN local THEN 1.0 WHEN room >= 1.5 THEN 1.0 WHEN room >= 1 THEN 0.0 ELSE -1.0 END::DOUBLE AS throughput, CASE WHEN subs THEN 1.0 ELSE 0.0 END::DOUBLE AS subtitles FROM f),
+ s AS (SELECT *, round(4 * language + 3 * quality + 3 * plausibility + 2 * health + 2 * duration + 2 * compatibility + 2 * throughput + encoding + 0.5 * subtitles, 6) AS total FROM p)
 """
 
 
 def _copies(spark: SparkSession, folder: str) -> DataFrame:
-    n = F.col("l_linenumber") % 4
-    height = F.when(n == 0, 2160).when(n == 1, 1080).when(n == 2, 720).otherwise(480)
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 10).alias("mb"), (F.col("l_quantity") * 4).alias("minutes"), height.alias("height"), (F.col("l_suppkey") % 50).alias("seeds"))
-    plausible = S.plausibility(F.col("mb"), F.col("minutes"), F.col("height"), F.lit(100.0))
-    return lines.select("l_orderkey", "l_linenumber", "minutes", plausible.alias("plausible"), S.swarm_health(F.col("seeds")).alias("health"))
-
-
-@query("op_q01_rank_copies", _COPIES + """SELECT l_orderkey, l_linenumber, plausible, round(health, 6) AS health, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY plausible = 0, round(3 * plausible + 3 * health, 6) DESC, l_linenumber, plausible, health) AS INT) AS rank FROM p""")
+    """Order lines as copies of what the order asks for."""
+    def choose(n, *names):
+        out = F.lit(None).cast("string")
+        for i, name in enumerate(names):
+            out = F.when(n == i, name).otherwise(out)
+        return out
+
+    supp, part = F.col("l_suppkey"), F.col("l_partkey")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return lines.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice") / 10).alias("mb"), (F.col("l_quantity") * 4).alias("minutes"), F.lit(100.0).alias("runtime"), (3 - F.col("l_linenumber") % 4).alias("rank"),
+        choose(supp % 5, "h264", "h265", "av1", "vp9").alias("codec"), (supp % 50).alias("seeds"), (part % 11 == 0).alias("local"), choose(part % 3, "en", "fr").alias("language"),
+        F.coalesce(choose(supp % 7, "a.cam.mkv", "a.zip", "a.web.x264.mkv"), F.lit("a.mkv")).alias("name"), (part % 2 == 0).alias("has_subtitles"),
+    )
+
+
+@query("op_q01_rank_copies", _COPIES + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, total, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY plausibility = -1 OR duration = -1 OR encoding = -1, language = -1, NOT local, health < 0 OR throughput = -1, abs(rank - 2), total DESC, l_linenumber, l_partkey, l_suppkey) AS INT) AS place FROM s""")
 def rank_copies(spark: SparkSession, folder: str) -> DataFrame:
-    """Copies of an order in order of choice: fakes last, then by weighted terms (Q01 to Q03)."""
-    total = F.round(3 * F.col("plausible") + 3 * F.col("health"), 6)
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.col("plausible") == 0, total.desc(), "l_linenumber", "plausible", "health"))
-    return _copies(spark, folder).select("l_orderkey", "l_linenumber", "plausible", F.round("health", 6).alias("health"), rank.alias("rank"))
+    """Copies of an order in order of choice, by nine terms."""
+    ranked = S.rank_copies(_copies(spark, folder), ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], "en", 2, 2, 0.8)
+    return ranked.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "total", "place")
 
 
 @query("op_q07_quota", _EV + "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 2 AS granted FROM ev")
@@ -226,13 +227,25 @@ def quota(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).select("event_id", "user_id", (n <= 2).alias("granted"))
 
 
-@query("op_x04_filename", """SELECT DISTINCT item_id, title, year, 1080 AS resolution, 'webdl' AS source, 'h264' AS codec FROM media_items
-  WHERE regexp_full_match(title, '[A-Z][a-z]+ [A-Z][a-z]+') AND year IS NOT NULL""")
+@query("op_x04_filename")
 def filenames(spark: SparkSession, folder: str) -> DataFrame:
-    """Release names made of plain titles, read back."""
-    plain = table(spark, folder, "media_items").select("item_id", "title", "year").distinct().filter(F.col("title").rlike(r"^[A-Z][a-z]+ [A-Z][a-z]+\z") & F.col("year").isNotNull())
-    name = F.concat(F.replace("title", F.lit(" "), F.lit(".")), F.lit("."), F.col("year").cast("string"), F.lit(".1080p.WEB-DL.x264-CREW.mkv"))
-    return plain.select("item_id", parse_filename(name).alias("f")).select("item_id", "f.title", "f.year", "f.resolution", "f.source", "f.codec")
+    """Names and paths in eight layouts made of all titles, read back: per layout how many came out with their title's words, year
+    and episode. Titles that themselves look like facts are among them."""
+    own = table(spark, folder, "media_items").filter("title is not null and year is not null").select("item_id", "title", "year").distinct()
+    dotted, year, n = F.regexp_replace("title", r"[\s/\\]+", "."), F.col("year").cast("string"), F.lpad((F.col("item_id") % 24 + 1).cast("string"), 2, "0")
+    flat = F.regexp_replace("title", r"[/\\]+", " ")
+    layouts = {
+        "film dotted": F.concat(dotted, F.lit("."), year, F.lit(".1080p.WEB-DL.x264-CREW.mkv")), "film brackets": F.concat(flat, F.lit(" ("), year, F.lit(") [720p].mp4")),
+        "episode": F.concat(dotted, F.lit(".S01E"), n, F.lit(".720p.HDTV.x265-CREW.mkv")), "episode cross": F.concat(flat, F.lit(" 1x"), n, F.lit(".avi")), "running": F.concat(F.lit("[Crew] "), flat, F.lit(" - "), n, F.lit("v2 [1080p].mkv")),
+        "season folder": F.concat(flat, F.lit("/Season 1/Episode "), n, F.lit(".mkv")), "bare number": F.concat(flat, F.lit(" ("), year, F.lit(")/"), n, F.lit(".mkv")), "dated": F.concat(dotted, F.lit(".2019.05.17.720p.WEB.mkv")),
+    }
+    each = own.select("title", "year", F.col("item_id") % 24 + 1, F.explode(F.array(*[F.struct(F.lit(k).alias("layout"), v.alias("path")) for k, v in layouts.items()])).alias("x")).toDF("title", "year", "n", "x")
+    read = each.select("title", "year", "n", "x.layout", parse_path(F.col("x.path")).alias("f"))
+    words = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    count = lambda c: F.count(F.when(c, 1))
+    return read.groupBy("layout").agg(
+        F.count(F.lit(1)).alias("names"), count(words(F.col("title")) == words(F.col("f.title"))).alias("titles"), count(F.col("f.year") == F.col("year")).alias("years"), count(F.col("f.episode") == F.col("n")).alias("episodes")
+    )
 
 
 @query("op_st10_stream_inserts", "SELECT DISTINCT event_id, user_id, event_type FROM events")

@@ -293,17 +293,4 @@ def existing(spark: SparkSession, folder: str) -> DataFrame:
     return entries.join(own, "name").filter(F.coalesce(F.col("y") == F.col("year"), F.lit(True))).select("anilist_id", "item_id")
 
 
-@query("op_e05_scan_diff", """WITH o AS (SELECT imdb_id, max(votes) AS votes FROM title_snapshots WHERE mirror_id = 'm00000' AND snapshot_no = 1 GROUP BY 1),
-  n AS (SELECT imdb_id, max(votes) AS votes FROM title_snapshots WHERE mirror_id = 'm00001' AND snapshot_no = 1 GROUP BY 1)
-  SELECT coalesce(o.imdb_id, n.imdb_id) AS imdb_id, CASE WHEN o.imdb_id IS NULL THEN 'new' WHEN n.imdb_id IS NULL THEN 'missing'
-    WHEN o.votes IS DISTINCT FROM n.votes THEN 'changed' ELSE 'unchanged' END AS state FROM o FULL JOIN n ON o.imdb_id = n.imdb_id""")
-def scan_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """New, missing, changed and unchanged rows of two scans, by a full outer join."""
-    dumps = table(spark, folder, "title_snapshots").filter("snapshot_no = 1")
-    scan = lambda m, c: dumps.filter(F.col("mirror_id") == m).groupBy("imdb_id").agg(F.max("votes").alias(c), F.lit(True).alias(f"in_{c}"))
-    both = scan("m00000", "old").join(scan("m00001", "new"), "imdb_id", "full")
-    state = F.when(F.col("in_old").isNull(), "new").when(F.col("in_new").isNull(), "missing").when(~F.col("old").eqNullSafe(F.col("new")), "changed").otherwise("unchanged")
-    return both.select("imdb_id", state.alias("state"))
-
-
 QUERIES, ORACLES = _r.queries, _r.oracles

@@ -93,19 +93,6 @@ def document(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("item_id", F.concat_ws(". ", name, F.nullif(F.array_join(other, ", "), F.lit("")), F.array_join(F.array_sort(F.split("genres", ",")), " ")).alias("document"))
 
 
-@query("op_j23_moved", """WITH a AS (SELECT imdb_id, title, year, votes FROM title_snapshots WHERE snapshot_no = 1 AND mirror_id = 'm00000' GROUP BY ALL), b AS (SELECT imdb_id, title, year, votes FROM title_snapshots WHERE snapshot_no = 1 AND mirror_id = 'm00001' GROUP BY ALL),
-  gone AS (SELECT * FROM a ANTI JOIN b USING (imdb_id)), c AS (SELECT g.imdb_id AS was, b.imdb_id AS now, count(*) OVER (PARTITION BY g.imdb_id) AS n FROM gone g JOIN b ON b.year = g.year AND b.votes = g.votes)
-  SELECT was, now FROM c WHERE n = 1""")
-def moved(spark: SparkSession, folder: str) -> DataFrame:
-    """Missing rows that a row of equal marks explains, where there is exactly one such."""
-    dumps = table(spark, folder, "title_snapshots").filter("snapshot_no = 1")
-    scan = lambda m: dumps.filter(F.col("mirror_id") == m).select("imdb_id", "title", "year", "votes").distinct()
-    a, b = scan("m00000"), scan("m00001")
-    gone = a.join(b.select("imdb_id"), "imdb_id", "left_anti").select(F.col("imdb_id").alias("was"), "year", "votes")
-    both = gone.join(b.select(F.col("imdb_id").alias("now"), "year", "votes"), ["year", "votes"])
-    return both.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("was"))).filter("n = 1").select("was", "now")
-
-
 @query("op_a18_offers", """SELECT imdb_id, lang, count(*) AS copies, CAST(row_number() OVER (PARTITION BY imdb_id ORDER BY count(*) DESC, lang) AS INT) AS rank FROM documents WHERE imdb_id IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2""")
 def offers(spark: SparkSession, folder: str) -> DataFrame:
     """Languages on offer for each title, most copies first."""

@@ -72,9 +72,9 @@ new AS (SELECT o.* FROM dump d JOIN one o USING (mirror_id, snapshot_no) WHERE b
 old AS (SELECT d.mirror_id, d.snapshot_no, o.imdb_id, o.year, o.votes FROM dump d JOIN one o ON o.mirror_id = d.mirror_id AND o.snapshot_no = d.before)
 """
 DUMP_ORACLES = {
-    "op_e05_dump_diff": _DUMPS + """SELECT mirror_id, snapshot_no, imdb_id, CASE WHEN o.hit IS NULL THEN 'new' WHEN n.hit IS NULL THEN 'missing' WHEN o.votes IS DISTINCT FROM n.votes THEN 'changed' ELSE 'unchanged' END AS state
+    "op_e05_scan_diff": _DUMPS + """SELECT mirror_id, snapshot_no, imdb_id, CASE WHEN o.hit IS NULL THEN 'new' WHEN n.hit IS NULL THEN 'missing' WHEN o.votes IS DISTINCT FROM n.votes THEN 'changed' ELSE 'unchanged' END AS state
   FROM (SELECT *, 1 AS hit FROM new) n FULL JOIN (SELECT *, 1 AS hit FROM old) o USING (mirror_id, snapshot_no, imdb_id)""",
-    "op_j23_dump_moved": _DUMPS + """, gone AS (SELECT * FROM old ANTI JOIN new USING (mirror_id, snapshot_no, imdb_id))
+    "op_j23_moved": _DUMPS + """, gone AS (SELECT * FROM old ANTI JOIN new USING (mirror_id, snapshot_no, imdb_id))
   SELECT mirror_id, snapshot_no, was, now FROM (SELECT g.mirror_id, g.snapshot_no, g.imdb_id AS was, n.imdb_id AS now, count(*) OVER (PARTITION BY g.mirror_id, g.snapshot_no, g.imdb_id) AS c
     FROM gone g JOIN new n ON n.mirror_id = g.mirror_id AND n.snapshot_no = g.snapshot_no AND n.year = g.year AND n.votes = g.votes) WHERE c = 1""",
 }
@@ -108,5 +108,5 @@ ORACLES = {
         FROM diff WHERE change IS NOT NULL GROUP BY 1, 2""",
 }
 QUERIES = {"p2_found": p2_found, "p2_refresh": p2_refresh}
-QUERIES |= {"op_e05_dump_diff": dump_diff, "op_j23_dump_moved": dump_moved}
+QUERIES |= {"op_e05_scan_diff": dump_diff, "op_j23_moved": dump_moved}
 ORACLES |= DUMP_ORACLES
