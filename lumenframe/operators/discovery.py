@@ -75,7 +75,8 @@ def hybrid_scores(parts: DataFrame) -> DataFrame:
     lifts the first term in order gives the reason; without a positive lift there is none.
     """
     terms = {"near": F.coalesce((F.col("cos") + 1) / 2, F.lit(0.0)), **{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in list(WEIGHTS)[1:]}}
-    own = parts.select("profile", "item", *[F.round(WEIGHTS[c] * x, 9).alias(c) for c, x in terms.items()])
+    # a trifle more, so that exact halves round alike however they were computed
+    own = parts.select("profile", "item", *[F.round(WEIGHTS[c] * x + 1e-12, 9).alias(c) for c, x in terms.items()])
     middle = own.groupBy("profile").agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").alias(f"m_{c}") for c in terms])
     both = own.join(middle, "profile")
     lift = {c: F.round(F.col(c) - F.col(f"m_{c}"), 9) for c in terms}

@@ -39,11 +39,15 @@ def fold_changes(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).groupBy("user_id", "item").agg(last.alias("state"), F.count(F.lit(1)).alias("changes")).filter("state <> 'error'")
 
 
-@query("op_st03_signal_dedup")
+@query("op_st03_signal_dedup", "WITH RECURSIVE " + EVENTS_SQL + """, k AS (SELECT event_id, user_id, item, event_type, ts, row_number() OVER (PARTITION BY user_id, item, event_type ORDER BY ts, event_id) AS n FROM ev),
+  w AS (SELECT n, event_id, user_id, item, event_type, ts, ts AS last, true AS ok FROM k WHERE n = 1 UNION ALL
+    SELECT k.n, k.event_id, k.user_id, k.item, k.event_type, k.ts, CASE WHEN k.ts >= w.last + INTERVAL 1 DAY THEN k.ts ELSE w.last END, k.ts >= w.last + INTERVAL 1 DAY
+    FROM w JOIN k ON k.n = w.n + 1 AND k.user_id = w.user_id AND k.item = w.item AND k.event_type = w.event_type)
+  SELECT event_id, user_id, item, event_type, ts FROM w WHERE ok""")
 def signal_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Signals at least a day after the last accepted one of their user and kind."""
-    kept = folds.accepted(events(spark, folder), ["user_id", "event_type"], "ts", "event_id", gap_seconds=86_400)
-    return kept.filter("accepted").select("event_id", "user_id", "event_type", "ts")
+    """Signals at least a day after the last accepted one of their user, item and kind."""
+    kept = folds.accepted(events(spark, folder), ["user_id", "item", "event_type"], "ts", "event_id", gap_seconds=86_400)
+    return kept.filter("accepted").select("event_id", "user_id", "item", "event_type", "ts")
 
 
 @query("op_st04_idempotent", """SELECT DISTINCT ON (rec_id) rec_id, profile_id, item_id FROM recommendations ORDER BY rec_id""")

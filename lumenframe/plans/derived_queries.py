@@ -226,10 +226,20 @@ def fallbacks(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.filter("rank >= 2 and n_chars > 0").select("imdb_id", "doc_id", (F.col("rank") - 1).alias("fallback"))
 
 
-@query("op_st07_backoff", "SELECT n::INT AS attempt, least(60.0 * pow(2, n), 3600.0)::DOUBLE AS seconds FROM range(0, 12) t(n)")
+@query("op_st07_backoff", _EV + """, g AS (SELECT *, count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM ev),
+  n AS (SELECT event_id, value, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - CASE WHEN run > 0 THEN 1 ELSE 0 END AS attempt, event_type FROM g)
+  SELECT event_id, CAST(attempt AS INT) AS attempt, CASE WHEN CAST(floor(value) AS BIGINT) % 3 = 0 THEN 'give up' ELSE 'retry' END AS kind,
+    CASE WHEN CAST(floor(value) AS BIGINT) % 3 <> 0 THEN round(least(60.0 * pow(2, attempt - 1), 3600.0) * (0.5 + (event_id % 1000) / 2000.0::DOUBLE), 6) END::DOUBLE AS seconds FROM n WHERE event_type = 'error'""")
 def backoff(spark: SparkSession, folder: str) -> DataFrame:
-    """Waits before each retry, doubled up to an hour."""
-    return spark.range(12).select(F.col("id").cast("int").alias("attempt"), F.least(60.0 * F.pow(F.lit(2.0), F.col("id")), F.lit(3600.0)).alias("seconds"))
+    """How long each failure waits: doubled with every failure in a row up to an hour, spread by half; some kinds aren't tried
+    again."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    runs = events(spark, folder).withColumn("run", F.sum((F.col("event_type") != "error").cast("int")).over(own))
+    n = F.row_number().over(Window.partitionBy("user_id", "run").orderBy("ts", "event_id")) - F.when(F.col("run") > 0, 1).otherwise(0)
+    failed = runs.withColumn("attempt", n).filter("event_type = 'error'")
+    again = F.floor("value") % 3 != 0
+    wait = F.least(60.0 * F.pow(F.lit(2.0), F.col("attempt") - 1), F.lit(3600.0)) * (0.5 + (F.col("event_id") % 1000) / 2000)
+    return failed.select("event_id", F.col("attempt").cast("int").alias("attempt"), F.when(again, "retry").otherwise("give up").alias("kind"), F.when(again, F.round(wait, 6)).alias("seconds"))
 
 
 QUERIES, ORACLES = _r.queries, _r.oracles

@@ -89,7 +89,7 @@ _SCORED = _POOL + """, nrm AS (SELECT profile, item, max(cos) AS cos FROM pool J
 mv AS (SELECT ln(1 + max(votes)) AS most FROM t), tx AS (SELECT item, axis, region FROM (SELECT item, 'decade' AS axis, CAST(year // 10 * 10 AS VARCHAR) AS region FROM t UNION ALL SELECT item, 'genre', trim(g.g, ' ') FROM t, unnest(string_split(genres, ',')) AS g(g)) WHERE region <> '' GROUP BY ALL),
 sh AS (SELECT profile, axis, region, w / sum(w) OVER (PARTITION BY profile, axis) AS share FROM (SELECT profile, axis, region, sum(w) AS w FROM loved JOIN tx USING (item) GROUP BY 1, 2, 3)),
 ax AS (SELECT profile, item, least(1, sum(share)) AS axes FROM (SELECT profile, item, axis, max(share) AS share FROM pool JOIN tx USING (item) JOIN sh USING (profile, axis, region) GROUP BY 1, 2, 3) GROUP BY 1, 2),
-terms AS (SELECT profile, item, round(coalesce((cos + 1) / 2, 0), 9)::DOUBLE AS near, round(0.5 * coalesce(s / ml.most, 0), 9)::DOUBLE AS loved, round(0.1 * coalesce(pm.n::DOUBLE / mp.most, 0), 9)::DOUBLE AS people, round(0.2 * coalesce(axes, 0), 9)::DOUBLE AS axes, CASE WHEN dc.imdb_id IS NOT NULL THEN 0.1 ELSE 0 END::DOUBLE AS playable
+terms AS (SELECT profile, item, round(coalesce((cos + 1) / 2, 0) + 1e-12, 9)::DOUBLE AS near, round(0.5 * coalesce(s / ml.most, 0) + 1e-12, 9)::DOUBLE AS loved, round(0.1 * coalesce(pm.n::DOUBLE / mp.most, 0) + 1e-12, 9)::DOUBLE AS people, round(0.2 * coalesce(axes, 0) + 1e-12, 9)::DOUBLE AS axes, CASE WHEN dc.imdb_id IS NOT NULL THEN 0.1 ELSE 0 END::DOUBLE AS playable
   FROM pool LEFT JOIN nrm USING (profile, item) LEFT JOIN led USING (profile, item) LEFT JOIN ml USING (profile) LEFT JOIN mk USING (item) LEFT JOIN pm USING (profile, maker) LEFT JOIN mp USING (profile) LEFT JOIN ax USING (profile, item) LEFT JOIN t USING (item) LEFT JOIN (SELECT DISTINCT imdb_id FROM documents) dc USING (imdb_id)),
 mid AS (SELECT profile, quantile_disc(near, 0.5) AS near, quantile_disc(loved, 0.5) AS loved, quantile_disc(people, 0.5) AS people, quantile_disc(axes, 0.5) AS axes, quantile_disc(playable, 0.5) AS playable FROM terms GROUP BY 1),
 lift AS (SELECT x.profile, item, round(x.near + x.loved + x.people + x.axes + x.playable, 9) AS score, round(x.near - y.near, 9) AS l1, round(x.loved - y.loved, 9) AS l2, round(x.people - y.people, 9) AS l3, round(x.axes - y.axes, 9) AS l4, round(x.playable - y.playable, 9) AS l5 FROM terms x JOIN mid y USING (profile))

@@ -126,13 +126,20 @@ def rolling_floor(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.select("user_id", "day", F.round(F.min("q").over(around), 6).alias("floor"))
 
 
-@query("op_t06_to_rate", TITLES_SQL + """, met AS (SELECT DISTINCT item_id FROM recommendations WHERE profile_id = 7)
-  SELECT item_id, votes FROM titles ANTI JOIN met USING (item_id) WHERE kind = 'movie' ORDER BY votes DESC NULLS LAST, item_id LIMIT 40 OFFSET 20""")
+@query("op_t06_to_rate", TITLES_SQL + """, met AS (SELECT DISTINCT profile_id, item_id FROM recommendations WHERE profile_id IS NOT NULL), films AS (SELECT item_id, votes FROM titles WHERE kind = 'movie'),
+  f AS (SELECT p.profile_id, f.item_id, f.votes FROM (SELECT DISTINCT profile_id FROM met) p, films f), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY votes DESC NULLS LAST, item_id) AS INT) AS place FROM f ANTI JOIN met USING (profile_id, item_id))
+  SELECT profile_id, item_id, place FROM r WHERE place BETWEEN 21 AND 40""")
 def to_rate(spark: SparkSession, folder: str) -> DataFrame:
-    """A page of popular films that a profile hasn't met."""
-    met = table(spark, folder, "recommendations").filter("profile_id = 7").select("item_id").distinct()
-    rest = titles(spark, folder).filter("kind = 'movie'").join(met, "item_id", "left_anti")
-    return rest.orderBy(_desc("votes"), "item_id").offset(20).limit(40).select("item_id", "votes")
+    """The second page of popular films that each profile hasn't met. A profile looks at as many of the most voted films as its
+    pages hold and it has met, so no profile meets every film."""
+    met = table(spark, folder, "recommendations").filter("profile_id is not null").select("profile_id", "item_id").distinct()
+    films = titles(spark, folder).filter("kind = 'movie'").select("item_id", "votes")
+    reach = met.groupBy("profile_id").agg((40 + F.count(F.lit(1))).cast("int").alias("n"))
+    best = films.orderBy(_desc("votes"), "item_id").limit(reach.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n)  # as far as any profile looks
+    ranked = best.select("item_id", F.row_number().over(Window.orderBy(_desc("votes"), "item_id")).alias("at"))
+    looked = reach.select("profile_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("at")).join(ranked, "at")
+    rest = looked.join(met, ["profile_id", "item_id"], "left_anti")
+    return rest.select("profile_id", "item_id", F.row_number().over(Window.partitionBy("profile_id").orderBy("at")).alias("place")).filter("place between 21 and 40")
 
 
 @query("op_t09_queue_plan", """SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS INT) AS place,

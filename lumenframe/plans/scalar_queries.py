@@ -31,11 +31,11 @@ def resume_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("op_x10_outcomes", _PLAYED + """SELECT event_id, CASE WHEN pos < 60 THEN 'skim' WHEN pos >= 0.9::DOUBLE * dur OR dur - pos <= 300 THEN 'completed' ELSE 'abandoned' END AS outcome,
-  round(-0.6 + 0.5 * greatest(0, least(1, pos / dur)), 6)::DOUBLE AS weight FROM pl""")
+  round(-0.6::DOUBLE + 0.5::DOUBLE * greatest(0, least(1, pos / dur)), 9)::DOUBLE AS weight FROM pl""")
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """How every playback ended, and what leaving it there would weigh."""
     pos, dur = F.col("pos"), F.col("dur")
-    return _played(spark, folder).select("event_id", S.playback_outcome(pos, pos, dur).alias("outcome"), F.round(S.abandon_weight(pos, dur), 6).alias("weight"))
+    return _played(spark, folder).select("event_id", S.playback_outcome(pos, pos, dur).alias("outcome"), F.round(S.abandon_weight(pos, dur), 9).alias("weight"))
 
 
 @query("op_f15_retry_window", """WITH a AS (SELECT imdb_id, max(fetched_at) AS last FROM documents WHERE imdb_id IS NOT NULL GROUP BY 1), m AS (SELECT max(fetched_at) AS now FROM documents)
