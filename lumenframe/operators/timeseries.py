@@ -38,6 +38,58 @@ def smoothed_flags(df: DataFrame, keys: list[str], order: str, flag: str, bridge
     return merged.filter(F.col("on") & (F.col("length") >= least)).select(*keys, "start", "length")
 
 
+#: What counts as speech: the band in Hz, decibels over the noise floor and at all, modulation within 0.2 s, frames bridged and
+#: kept. Frames of a block of the noise floor.
+BAND, OVER_FLOOR, LEAST_DB, MODULATION, BRIDGED, KEPT, FLOOR_BLOCK = (250.0, 3400.0), 9.0, -60.0, 2.5, 20, 6, 100
+
+
+def _response(turn: np.ndarray, rate: float, cutoff: float, high: bool) -> np.ndarray:
+    """Frequency response of a second-order filter without a peak, at the angles `turn`."""
+    w = 2 * np.pi * cutoff / rate
+    alpha, cos = np.sin(w) / np.sqrt(2), np.cos(w)
+    side = (1 + cos) / 2 if high else (1 - cos) / 2
+    z = np.exp(-1j * turn)
+    return side * (1 + (-2 if high else 2) * z + z * z) / ((1 + alpha) - 2 * cos * z + (1 - alpha) * z * z)
+
+
+def band_passed(samples: np.ndarray, rate: int) -> np.ndarray:
+    """The band of speech, filtered as a product of spectra over a signal padded by a second."""
+    n = 1 << int(np.ceil(np.log2(max(len(samples) + rate, 2))))
+    turn = 2 * np.pi * np.arange(n // 2 + 1) / n
+    keep = _response(turn, rate, BAND[0], True) * _response(turn, rate, min(BAND[1], 0.45 * rate), False)
+    return np.fft.irfft(np.fft.rfft(samples, n) * keep, n)[: len(samples)]
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the true runs of flags start and end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return edges[::2], edges[1::2]
+
+
+def speech(samples: np.ndarray, rate: int) -> np.ndarray:
+    """Whether each frame of 10 ms holds speech: loud over the quietest tenth of the blocks around and modulated; gaps of under 20
+    frames within are filled, then runs of under 6 dropped."""
+    hop = max(rate * FRAME_MS // 1000, 1)
+    frames = len(samples) // hop + (len(samples) % hop > 0)
+    if not frames:
+        return np.zeros(0, dtype=bool)
+    at = np.minimum(np.arange(frames + 1) * hop, len(samples))
+    power = np.diff(np.concatenate([[0.0], np.cumsum(band_passed(np.asarray(samples, dtype=float), rate) ** 2)])[at]) / np.diff(at)
+    db = 10 * np.log10(np.maximum(power, 0) + 1e-12)
+    lows = np.array([np.sort(b)[len(b) // 10] for b in np.split(db, range(FLOOR_BLOCK, frames, FLOOR_BLOCK))])
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(lows, 3, constant_values=np.inf), 7).min(axis=1)
+    low, high = np.maximum(np.arange(frames) - 10, 0), np.minimum(np.arange(frames) + 11, frames)
+    sums, squares = (np.concatenate([[0.0], np.cumsum(x)]) for x in (db, db * db))
+    n = high - low
+    spread = np.sqrt(np.maximum((squares[high] - squares[low]) / n - ((sums[high] - sums[low]) / n) ** 2, 0))
+    on = (db > LEAST_DB) & (db > around[np.arange(frames) // FLOOR_BLOCK] + OVER_FLOOR) & (spread > MODULATION)
+    for wanted, least in ((False, BRIDGED), (True, KEPT)):
+        for a, b in zip(*_runs(on == wanted)):
+            if b - a < least and (wanted or 0 < a and b < frames):
+                on[a:b] = not wanted
+    return on
+
+
 def render(starts: np.ndarray, ends: np.ndarray, frames: int, scale: float = 1.0) -> np.ndarray:
     """Cues as 0 and 1 on a grid of frames."""
     grid = np.zeros(frames)

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as T
+from lumenframe.functions.scalars import mixed_modulo
 from lumenframe.operators import discovery as D
 from lumenframe.operators import recommend as C
 from lumenframe.operators import vectors as V
 from lumenframe.operators.relational import top_per_key
 from lumenframe.plans.base import Registry
+from lumenframe.plans.scalar_queries import _MIX as MIX_SQL
 from lumenframe.storage import materialize
 from lumenframe.tables import table
 
@@ -249,6 +251,48 @@ def deep_cut(spark: SparkSession, folder: str) -> DataFrame:
     return top_per_key(scored, ["profile"], [F.col("rel").desc(), F.col("item")], 20).select("profile", "item", "label", "rank")
 
 
+@query("op_r27_onboarding", _BASE + """, nr AS (SELECT mode, item, row_number() OVER (PARTITION BY mode ORDER BY cos DESC, item) AS place FROM close QUALIFY place <= 60),
+  ne AS (SELECT profile, item, row_number() OVER (PARTITION BY profile ORDER BY place, turn, item) AS pos FROM (SELECT profile, item, place, rank AS turn FROM mo JOIN nr USING (mode) ANTI JOIN loved USING (profile, item) QUALIFY row_number() OVER (PARTITION BY profile, item ORDER BY place, rank) = 1) QUALIFY pos <= 6),
+  dc AS (SELECT item, row_number() OVER (PARTITION BY year // 10 ORDER BY votes DESC NULLS LAST, item) AS n, year // 10 AS d FROM t WHERE year BETWEEN 1920 AND 2029 QUALIFY n <= 12), sp AS (SELECT item, row_number() OVER (ORDER BY n, d DESC) AS spot FROM dc),
+  rest AS (SELECT profile, item, row_number() OVER (PARTITION BY profile ORDER BY spot) AS pos FROM (SELECT p.profile, sp.item, spot FROM (SELECT DISTINCT profile FROM mo) p, sp) ANTI JOIN ne USING (profile, item) ANTI JOIN loved USING (profile, item)), cc AS (SELECT profile, count(*) AS n FROM ne GROUP BY 1)
+  SELECT profile, item, CAST(pos AS INT) AS place FROM ne UNION ALL SELECT profile, item, CAST(pos + coalesce(n, 0) AS INT) FROM rest LEFT JOIN cc USING (profile) WHERE pos + coalesce(n, 0) <= 12""")
+def onboarding(spark: SparkSession, folder: str) -> DataFrame:
+    """A round of twelve titles to choose from for every profile: half near its modes, the rest the most voted of the decades in
+    turn, nothing it loved. The decades' list has 132 titles at most."""
+    g = _Gathered(spark, folder)
+    loved = g.loved.select("profile", "item")
+    near = top_per_key(g.close, ["mode"], [F.col("cos").desc(), F.col("item")], 60, "place").select("mode", "item", "place")
+    by_mode = g.modes.select("profile", "mode", F.col("rank").alias("turn")).join(near, "mode").join(loved, ["profile", "item"], "left_anti").groupBy("profile", "item").agg(F.min(F.struct("place", "turn")).alias("at"))
+    first = materialize(top_per_key(by_mode, ["profile"], [F.col("at"), F.col("item")], 6, "pos").select("profile", "item", "pos"), "near")
+    decade = g.titles.filter("year between 1920 and 2029").withColumn("d", F.expr("year div 10"))
+    spread = top_per_key(decade, ["d"], [F.col("votes").desc_nulls_last(), F.col("item")], 12, "n")
+    spread = spread.select("item", F.row_number().over(Window.orderBy("n", F.col("d").desc())).alias("at"))  # 132 rows at most
+    every = g.modes.select("profile").distinct().crossJoin(F.broadcast(spread))
+    rest = every.join(first, ["profile", "item"], "left_anti").join(loved, ["profile", "item"], "left_anti").withColumn("pos", F.row_number().over(Window.partitionBy("profile").orderBy("at")))
+    taken = first.groupBy("profile").agg(F.count(F.lit(1)).alias("n"))
+    place = (F.col("pos") + F.coalesce("n", F.lit(0))).cast("int")
+    more = rest.join(taken, "profile", "left").select("profile", "item", place.alias("place")).filter("place <= 12")
+    return first.withColumnRenamed("pos", "place").unionByName(more)
+
+
+@query("op_r28_surprise", _BASE + _NEAREST_MODE.format(where="rating >= 78 AND votes >= 100") + """, cn AS (SELECT profile, item, row_number() OVER (PARTITION BY profile ORDER BY cos DESC, item) AS rank FROM ps ANTI JOIN loved USING (profile, item) QUALIFY rank <= 20),
+  ow AS (SELECT cn.*, dc.imdb_id IS NOT NULL AS here FROM cn JOIN t USING (item) LEFT JOIN (SELECT DISTINCT imdb_id FROM documents) dc USING (imdb_id)), bs AS (SELECT *, max(here::INT) OVER (PARTITION BY profile) AS any_here FROM ow),
+  fv AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY rank) AS n FROM bs WHERE here OR any_here = 0 QUALIFY n <= 5), given AS (SELECT *, count(*) OVER (PARTITION BY profile) AS cnt, CAST(profile AS UBIGINT) AS x FROM fv), """ + MIX_SQL + """
+  SELECT profile, item, here FROM mixed WHERE n - 1 = m % CAST(cnt AS UBIGINT)""")
+def surprise(spark: SparkSession, folder: str) -> DataFrame:
+    """One title for every profile: of the five best it doesn't know, those at hand first, which one by a hash of the profile."""
+    g = _Gathered(spark, folder)
+    texts = table(spark, folder, "documents").select("imdb_id").dropna().distinct().withColumn("here", F.lit(True))
+    own = canon(spark, folder).join(g.titles.select("item", "imdb_id"), "item").join(texts, "imdb_id", "left").withColumn("here", F.coalesce("here", F.lit(False)))
+    each = Window.partitionBy("profile")
+    best = own.withColumn("any", F.max("here").over(each)).filter("here or not any").withColumn("n", F.row_number().over(each.orderBy("rank"))).filter("n <= 5")
+    first = best.withColumn("c", F.count(F.lit(1)).over(each))
+    at = F.when(F.col("c") == 1, 0)
+    for c in range(2, 6):
+        at = at.when(F.col("c") == c, mixed_modulo(F.col("profile"), c))
+    return first.filter(F.col("n") - 1 == at).select("profile", "item", "here")
+
+
 @query("op_v10_edited_modes", _BASE + """, fx AS (SELECT profile, mode, w * CASE (profile + mode) % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 ELSE 1.0 END AS w FROM mo), f AS (SELECT * FROM fx WHERE w > 0), g AS (SELECT profile, mode, w / sum(w) OVER (PARTITION BY profile) AS w FROM f)
   SELECT profile, mode, round(w * CASE WHEN profile % 3 = 0 THEN 0.8 ELSE 1 END, 6)::DOUBLE AS weight FROM g UNION ALL SELECT profile, NULL, CASE WHEN bool_or(w > 0) THEN 0.2 ELSE 1.0 END::DOUBLE FROM fx WHERE profile % 3 = 0 GROUP BY 1""")
 def edited_modes(spark: SparkSession, folder: str) -> DataFrame:

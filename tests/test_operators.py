@@ -171,3 +171,15 @@ def test_readers(spark, tmp_path):
     table = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, x string")
     assert readers.write_new_rows(table, str(tmp_path / "out"), ["id"]) == 2
     assert readers.write_new_rows(table, str(tmp_path / "out"), ["id"]) == 0
+
+
+def test_speech_is_found_in_noise():
+    rng = np.random.default_rng(6)
+    rate = 8000
+    t = np.arange(rate * 12) / rate
+    said = ((t > 3) & (t < 5)) | ((t > 8) & (t < 9.5))
+    voice = np.sin(2 * np.pi * 700 * t) * (np.sin(2 * np.pi * 4 * t) > -0.2) * said
+    flags = timeseries.speech(voice * 0.3 + 0.002 * rng.standard_normal(len(t)) + 0.3 * np.sin(2 * np.pi * 50 * t), rate)
+    inside = np.add.reduceat(said, np.arange(0, len(t), 80)) > 40
+    assert len(flags) == 1200 and (flags == inside).mean() > 0.95
+    assert not timeseries.speech(np.zeros(4000), rate).any() and timeseries.speech(np.zeros(0), rate).size == 0
