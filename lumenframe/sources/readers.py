@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.storage import materialize
+
 #: Columns of the known dumps. Fixed values.
 DATASETS = {
     "title.basics": ["tconst", "titleType", "primaryTitle", "originalTitle", "isAdult", "startYear", "runtimeMinutes", "genres"],
@@ -91,14 +93,17 @@ def freshness(age_seconds: Column, kind: Column) -> Column:
 
 
 def write_new_rows(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the rows whose keys a Parquet table lacks, each key once; returns how many. Running it again adds nothing."""
+    """Append the rows whose keys a Parquet table lacks, each key once (null keys are equal); returns how many. Running it again
+    adds nothing. The new rows are written to the shared folder first, so the input is read once."""
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(keys)
     try:
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+        old = spark.read.parquet(path).select(*[F.col(k).alias(f"_old_{k}") for k in keys])
+        fresh = fresh.join(old, [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys], "left_anti")
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
+    fresh = materialize(fresh, "fresh")
     n = fresh.count()
     if n:
         fresh.write.mode("append").parquet(path)

@@ -66,3 +66,12 @@ def test_cache(spark):
     touched = X.touch(now, s.select("url").filter("url = 'v'"), "url", "at", F.lit(9))
     assert {(r.url, r.at) for r in X.purge(touched, F.when(F.col("at") < 3, "expired").otherwise("fresh")).collect()} == {("v", 9), ("w", 3)}
     assert spark.range(1).select(X.serveable(F.lit("stale"), F.lit(False)).alias("a"), X.serveable(F.lit("stale"), F.lit(True)).alias("b")).first() == (False, True)
+
+
+def test_new_rows_are_written_once(spark, tmp_path):
+    from lumenframe.sources.readers import write_new_rows
+
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, "d"), (2, "e")], "k int, v string")
+    path = str(tmp_path / "t")
+    assert [write_new_rows(df, path, ["k"]) for _ in range(2)] == [3, 0]
+    assert write_new_rows(df.unionByName(spark.createDataFrame([(3, "f")], "k int, v string")), path, ["k"]) == 1 and spark.read.parquet(path).count() == 4
