@@ -27,3 +27,18 @@ def test_rare_pieces_find_all_that_share_enough(spark):
     cut = lambda t: Counter(t[i : i + 3] for i in range(len(t) - 2))
     want = {(q, i) for q, t in asked if len(t) >= 4 for i, n in names if (g := set(cut(t))) and len(g & set(cut(n))) >= math.ceil(round(len(g) * 0.3, 9))}
     assert got == want and want
+
+
+@pytest.mark.parametrize("block", [7, 1_000_000])
+def test_search_moves_results_not_hits(spark, monkeypatch, block):
+    """What is shuffled after the postings are written are k results a query at most, and blocks don't change them."""
+    monkeypatch.setattr(search, "BLOCK_POSTINGS", block)
+    docs = spark.createDataFrame([(i, f"alpha w{i % 3} x{i % 5} tail{i}") for i in range(60)], "id bigint, name string")
+    asked = spark.createDataFrame([(q, f"alpha w{q % 3}") for q in range(9)] + [(0, "alpha x1"), (20, "alpha none"), (21, None)], "query bigint, q string")
+    got = {}
+    ranked = search.bm25(search.postings(docs, "id", {"name": 1}), "id", asked, "query", "q", 4)
+    for r in ranked.orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.id)
+    assert got == {0: [6, 21, 36, 51]} | {q: [i for i in range(60) if i % 3 == q % 3][:4] for q in range(1, 9)}
+    found = search.fuzzy(search.gram_postings(docs, "id", "name"), "id", asked, "query", "q", 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.groupBy("query").count().agg({"count": "max"}).first()[0] == 3
