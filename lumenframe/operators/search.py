@@ -178,20 +178,28 @@ def filtered(titles: DataFrame, key: str, asked: DataFrame, k: int) -> DataFrame
     """(query, key, rank): titles within each query's limits, most votes first; a query without a limit finds nothing.
 
     asked: query, year_from, year_to, least_minutes, most_minutes (null is no limit). An unknown year or length fails a limit on
-    it. Equal limits are looked up once, and by decade, so no query meets titles outside its decades.
+    it. Equal limits are looked up once, by decade, and among the best titles of each year and length alone.
     """
     limits = ["year_from", "year_to", "least_minutes", "most_minutes"]
     known = asked.filter(F.coalesce(*limits).isNotNull())
-    kinds = known.select(*limits).distinct()
-    has_year = F.coalesce("year_from", "year_to").isNotNull()
-    decades = F.sequence(F.expr("coalesce(year_from, 1870) div 10"), F.expr("coalesce(year_to, 2100) div 10"))
-    spread = kinds.withColumn("decade", F.explode(F.when(has_year & (F.coalesce("year_from", F.lit(1870)) <= F.coalesce("year_to", F.lit(2100))), decades).when(~has_year, F.array(F.lit(None).cast("bigint")))))
-    both_ways = F.array_distinct(F.array(F.lit(None).cast("bigint"), F.expr("year div 10")))  # a null decade is for limits without years
-    own = titles.select(key, "year", "minutes", "votes").withColumn("decade", F.explode(both_ways))
+    kinds = materialize(known.select(*limits).distinct(), "limits")
+    order = [F.col("votes").desc_nulls_last(), F.col(key)]
     inside = lambda c, low, high: (F.col(low).isNull() | (F.col(c) >= F.col(low))) & (F.col(high).isNull() | (F.col(c) <= F.col(high)))
-    same = F.col("a.decade").eqNullSafe(F.col("b.decade"))
-    both = spread.alias("a").join(own.alias("b"), same).drop("decade").filter(inside("year", "year_from", "year_to") & inside("minutes", "least_minutes", "most_minutes"))
-    best = top_per_key(both.select(*limits, key, "votes").distinct(), limits, [F.col("votes").desc_nulls_last(), F.col(key)], k)
+    decades = F.sequence(F.expr("coalesce(year_from, 1870) div 10"), F.expr("coalesce(year_to, 2100) div 10"))
+    limited = {"year": F.coalesce("year_from", "year_to").isNotNull(), "minutes": F.coalesce("least_minutes", "most_minutes").isNotNull()}
+    every = None
+    for by in (["year"], ["minutes"], ["year", "minutes"]):
+        some = kinds.filter(limited["year"] if "year" in by else ~limited["year"]).filter(limited["minutes"] if "minutes" in by else ~limited["minutes"])
+        # limits on these columns take all rows of one year and length or none, so only the first k of those can be among the first k
+        own = top_per_key(titles.select(key, "year", "minutes", "votes").dropna(subset=by), by, order, k).drop("rank")
+        if "year" in by:
+            some = some.filter(F.coalesce("year_from", F.lit(1870)) <= F.coalesce("year_to", F.lit(2100))).withColumn("decade", F.explode(decades))
+            both = some.join(own.withColumn("decade", F.expr("year div 10")), "decade")
+        else:
+            both = some.crossJoin(own)
+        one = both.filter(inside("year", "year_from", "year_to") & inside("minutes", "least_minutes", "most_minutes")).select(*limits, key, "votes")
+        every = one if every is None else every.unionByName(one)
+    best = top_per_key(every, limits, order, k)
     match = [F.col(f"q.{c}").eqNullSafe(F.col(f"t.{c}")) for c in limits]
     return known.alias("q").join(best.alias("t"), match).select("q.query", F.col(f"t.{key}"), F.col("t.rank"))
 

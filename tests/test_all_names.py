@@ -42,3 +42,16 @@ def test_search_moves_results_not_hits(spark, monkeypatch, block):
     assert got == {0: [6, 21, 36, 51]} | {q: [i for i in range(60) if i % 3 == q % 3][:4] for q in range(1, 9)}
     found = search.fuzzy(search.gram_postings(docs, "id", "name"), "id", asked, "query", "q", 3)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.groupBy("query").count().agg({"count": "max"}).first()[0] == 3
+
+
+def test_limits_take_the_most_voted(spark):
+    rows = [(i, None if i % 11 == 0 else 1980 + i % 25, None if i % 7 == 0 else 60 + i % 90, None if i % 5 == 0 else i % 13) for i in range(400)]
+    titles = spark.createDataFrame(rows, "id bigint, year int, minutes int, votes bigint")
+    limits = [(1985, 1991, None, None), (None, None, 100, None), (1990, None, None, 80), (None, 1984, 70, 120), (2001, 1999, None, None), (None, None, None, None)]
+    asked = spark.createDataFrame([(q, *x) for q, x in enumerate(limits)], "query int, year_from int, year_to int, least_minutes int, most_minutes int")
+    got = {}
+    for r in search.filtered(titles, "id", asked, 6).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.id)
+    fits = lambda x, low, high: low is None and high is None or x is not None and (low is None or x >= low) and (high is None or x <= high)
+    want = {q: [r[0] for r in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[0])) if fits(r[1], *x[:2]) and fits(r[2], *x[2:])][:6] for q, x in enumerate(limits[:4])}
+    assert got == want
