@@ -183,3 +183,15 @@ def test_speech_is_found_in_noise():
     inside = np.add.reduceat(said, np.arange(0, len(t), 80)) > 40
     assert len(flags) == 1200 and (flags == inside).mean() > 0.95
     assert not timeseries.speech(np.zeros(4000), rate).any() and timeseries.speech(np.zeros(0), rate).size == 0
+
+
+def test_rows_of_one_vector_are_compared_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    m = np.repeat(rng.standard_normal((9, 8)), 2, axis=0)[:17]  # some groups are alike
+    rows = [(i, (i * 7) % 17, m[(i * 7) % 17].tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, g bigint, v array<float>")
+    key = lambda d: sorted((r.query, r.id, r["rank"], r.similarity) for r in d.collect())
+    want = key(vectors.nearest(df, df.filter("id % 20 = 0"), "id", "v", 10))
+    counts = []
+    monkeypatch.setattr(vectors, "nearest", lambda base, *a, f=vectors.nearest: counts.append(base.count()) or f(base, *a))
+    assert key(vectors.nearest_sharing(df, df.filter("id % 20 = 0"), "id", "g", "v", 10)) == want and counts == [17]
