@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.relational import top_per_key
+from lumenframe.storage import materialize
 
 #: Sizes of a candidate pool: titles per mode and near all modes, loved-with, by makers, popular. Modes of a profile.
 PER_MODE, NEAR, LOVED, MADE, POPULAR, MODES = 200, 500, 400, 150, 100, 8
+_POSITIONS = 1 + max(NEAR, LOVED, MADE, POPULAR)
 #: Weights of a candidate's terms.
 WEIGHTS = {"near": 1.0, "loved": 0.5, "people": 0.1, "popular": 0.0, "axes": 0.2, "playable": 0.1}
 #: The title at which closeness to a mode ends.
@@ -48,23 +50,27 @@ def candidate_pool(modes: DataFrame, close: DataFrame, led_to: DataFrame, loved:
     modes: profile, mode, rank. close: mode, item, cos. led_to: profile, item, s. loved, met: profile, item. makers: item,
     maker. titles: item, votes.
     """
-    near = top_per_key(close, ["mode"], [F.col("cos").desc(), F.col("item")], PER_MODE, "place").select("mode", "item", "place")
-    by_mode = modes.select("profile", "mode", F.col("rank").alias("turn")).join(near, "mode").groupBy("profile", "item").agg(F.min(F.struct("place", "turn")).alias("at"))
-    lists = [top_per_key(by_mode, ["profile"], [F.col("at"), F.col("item")], NEAR, "pos").select("profile", "item", F.lit(0).alias("list"), "pos")]
-    lists.append(top_per_key(led_to, ["profile"], [F.col("s").desc(), F.col("item")], LOVED, "pos").select("profile", "item", F.lit(1).alias("list"), "pos"))
+    parts = int(modes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own_task = lambda df: df.repartition(parts, "profile")  # noqa: E731 - a profile's candidates are made, cut and put together in one task
+    place = lambda n, pos: (F.lit(n) * _POSITIONS + F.col(pos)).alias("at")  # noqa: E731 - list and position as one number
+    near = materialize(top_per_key(close, ["mode"], [F.col("cos").desc(), F.col("item")], PER_MODE, "place").select("mode", "item", "place"), "near")
+    turns = own_task(modes.select("profile", "mode", F.col("rank").alias("turn")))
+    by_mode = turns.join(near, "mode").groupBy("profile", "item").agg(F.min(F.col("place").cast("bigint") * (MODES + 1) + F.col("turn")).alias("turn"))
+    lists = [top_per_key(by_mode, ["profile"], [F.col("turn"), F.col("item")], NEAR, "pos").select("profile", "item", place(0, "pos"))]
+    lists.append(top_per_key(own_task(led_to), ["profile"], [F.col("s").desc(), F.col("item")], LOVED, "pos").select("profile", "item", place(1, "pos")))
     own = loved.join(makers, "item").groupBy("profile", "maker").agg(F.countDistinct("item").alias("n"))
     works = makers.join(titles, "item")
     works = top_per_key(works, ["maker"], [F.col("votes").desc_nulls_last(), F.col("item")], MADE, "place").drop("place")
-    made = own.join(works, "maker").groupBy("profile", "item", "votes").agg(F.max("n").alias("n"))
-    lists.append(top_per_key(made, ["profile"], [F.col("n").desc(), F.col("votes").desc_nulls_last(), F.col("item")], MADE, "pos").select("profile", "item", F.lit(2).alias("list"), "pos"))
+    made = own_task(own.join(works, "maker").select("profile", "item", "votes", "n")).groupBy("profile", "item", "votes").agg(F.max("n").alias("n"))
+    lists.append(top_per_key(made, ["profile"], [F.col("n").desc(), F.col("votes").desc_nulls_last(), F.col("item")], MADE, "pos").select("profile", "item", place(2, "pos")))
     popular = titles.orderBy(F.col("votes").desc_nulls_last(), "item").limit(POPULAR)
     popular = popular.select("item", F.row_number().over(Window.orderBy(F.col("votes").desc_nulls_last(), "item")).alias("pos"))  # POPULAR rows
-    lists.append(modes.select("profile").distinct().crossJoin(F.broadcast(popular)).select("profile", "item", F.lit(3).alias("list"), "pos"))
-    every = lists[0]
-    for x in lists[1:]:
+    lists.append(own_task(modes.select("profile")).distinct().crossJoin(F.broadcast(popular)).select("profile", "item", place(3, "pos")))
+    every = own_task(met.select("profile", "item")).withColumn("at", F.lit(-1))
+    for x in lists:
         every = every.unionByName(x)
-    first = every.groupBy("profile", "item").agg(F.min(F.struct("list", "pos")).alias("at"))
-    return first.join(met, ["profile", "item"], "left_anti").select("profile", "item", "at.list", "at.pos")
+    first = every.groupBy("profile", "item").agg(F.min("at").alias("at")).filter("at >= 0")
+    return first.select("profile", "item", F.floor(F.col("at") / _POSITIONS).cast("int").alias("list"), (F.col("at") % _POSITIONS).alias("pos"))
 
 
 def hybrid_scores(parts: DataFrame) -> DataFrame:
