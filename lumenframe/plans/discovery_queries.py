@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as T
 from lumenframe.functions.scalars import mixed_modulo
 from lumenframe.operators import discovery as D
+from lumenframe.operators import profiles as P
 from lumenframe.operators import recommend as C
 from lumenframe.operators import vectors as V
 from lumenframe.operators.relational import top_per_key
@@ -48,10 +51,11 @@ class _Gathered:
         self.titles = materialize(_facts(spark, folder), "titles")
         own = table(spark, folder, "embeddings").dropDuplicates(["vec_id"]).select("vec_id", F.col("embedding").alias("v"), F.col("label").alias("mode"))
         n = max(own.count(), 1)
-        placed = self.titles.select("item", F.pmod("item", F.lit(n)).alias("vec_id")).join(own, "vec_id").select("item", "v", "mode")
-        self.mode_of = placed.select("item", "mode")
+        self.mode_of = self.titles.select("item", F.pmod("item", F.lit(n)).alias("vec_id")).join(own.select("vec_id", "mode"), "vec_id").select("item", "mode")
         centres = V.mean_vectors(own, "mode", "v", F.lit(1.0)).withColumnRenamed("mean", "c")
-        self.close = materialize(D.closeness(placed.select("item", "v"), centres, V.cosine(F.col("c"), F.col("v"))), "closeness")
+        self.vectors, self.n = own, n
+        #: Titles of one vector are as close to a mode as it is.
+        self.vector_close = materialize(D.closeness(own.select(F.col("vec_id").alias("item"), "v"), centres, V.cosine(F.col("c"), F.col("v"))).withColumnRenamed("item", "vec_id"), "closeness")
         shown = table(spark, folder, "recommendations").filter("profile_id is not null").select("rec_id", F.col("profile_id").alias("profile"), F.col("item_id").alias("item"), "loved_with").distinct()
         x = shown.select("profile", "item", F.explode("loved_with").alias("x")).select("profile", "item", F.col("x.item_id").alias("loved"), F.col("x.score").alias("s")).dropna(subset=["loved", "s"])
         x = materialize(x, "leads")
@@ -59,11 +63,22 @@ class _Gathered:
         self.led = x.filter("item is not null").groupBy("profile", "item").agg(F.round(F.sum("s"), 6).alias("s"))
         self.modes = materialize(D.profile_modes(self.loved, self.mode_of), "modes")
         self.makers = self.titles.filter("title is not null").select("item", T.franchise_key(F.col("title")).alias("maker"))
-        self.inside = materialize(D.close_enough(self.close), "inside")
+        self.texts = table(spark, folder, "documents").select("imdb_id")
+
+    @cached_property
+    def close(self) -> DataFrame:
+        """(mode, item, cos), made from the vectors' closeness as it is read."""
+        each = self.vector_close.groupBy("vec_id").agg(F.collect_list(F.struct("mode", "cos")).alias("near"))
+        return self.titles.select("item", F.pmod("item", F.lit(self.n)).alias("vec_id")).join(each, "vec_id").select("item", F.inline("near")).select("mode", "item", "cos")
+
+    @cached_property
+    def inside(self) -> DataFrame:
+        return materialize(D.close_enough(self.close), "inside")
 
-    def pool(self) -> DataFrame:
-        votes = self.titles.select("item", "votes")
-        return D.candidate_pool(self.modes, self.close, self.led, self.loved, self.makers, votes, self.loved.select("profile", "item"))
+    def by_profile(self, modes: DataFrame | None = None) -> tuple[DataFrame, str]:
+        """The profiles' rows, and where the titles are that their tasks read."""
+        path = P.pack(self.titles, self.makers, self.regions(), self.texts, self.vectors, self.vector_close, KNOWN)
+        return P.profile_rows(self.loved, self.led, self.modes if modes is None else modes), path
 
     def regions(self) -> DataFrame:
         decade = self.titles.filter("year is not null").select("item", F.lit("decade").alias("axis"), F.expr("cast(year div 10 * 10 as string)").alias("region"))
@@ -84,7 +99,7 @@ pool AS (SELECT profile, item, CAST(list AS INT) AS list, CAST(pos AS INT) AS po
 @query("op_r05_candidate_pool", _POOL + "SELECT profile, item, list, pos FROM pool")
 def candidate_pool(spark: SparkSession, folder: str) -> DataFrame:
     """Every profile's candidates: near its modes, loved-with, by makers (titles of one franchise), popular; less what it loved."""
-    return _Gathered(spark, folder).pool()
+    return P.pools(*_Gathered(spark, folder).by_profile())
 
 
 _SCORED = _POOL + """, nrm AS (SELECT profile, item, max(cos) AS cos FROM pool JOIN mo USING (profile) JOIN close USING (mode, item) GROUP BY 1, 2), ml AS (SELECT profile, max(s) AS most FROM led GROUP BY 1), mp AS (SELECT profile, max(n) AS most FROM pm GROUP BY 1),
@@ -98,29 +113,11 @@ lift AS (SELECT x.profile, item, round(x.near + x.loved + x.people + x.axes + x.
 """
 
 
-def _parts(spark: SparkSession, folder: str, g: _Gathered, pool: DataFrame) -> DataFrame:
-    """The pool with its terms before weighting."""
-    near = pool.join(g.modes.select("profile", "mode"), "profile").join(g.close, ["mode", "item"]).groupBy("profile", "item").agg(F.max("cos").alias("cos"))
-    led = g.led.join(g.led.groupBy("profile").agg(F.max("s").alias("most")), "profile").select("profile", "item", (F.col("s") / F.col("most")).alias("loved"))
-    own = g.loved.join(g.makers, "item").groupBy("profile", "maker").agg(F.countDistinct("item").alias("n"))
-    people = own.join(own.groupBy("profile").agg(F.max("n").alias("most")), "profile").select("profile", "maker", (F.col("n") / F.col("most")).alias("people"))
-    regions = g.regions()
-    shares = g.loved.join(regions, "item").groupBy("profile", "axis", "region").agg(F.sum("w").alias("w"))
-    shares = shares.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("profile", "axis"))).drop("w")
-    axes = pool.join(regions, "item").join(shares, ["profile", "axis", "region"]).groupBy("profile", "item", "axis").agg(F.max("share").alias("share"))
-    axes = axes.groupBy("profile", "item").agg(F.least(F.sum("share"), F.lit(1.0)).alias("axes"))
-    texts = table(spark, folder, "documents").select("imdb_id").distinct().withColumn("playable", F.lit(1.0))
-    kept = pool.select("profile", "item").join(near, ["profile", "item"], "left").join(led, ["profile", "item"], "left").join(g.makers, "item", "left")
-    kept = kept.join(people, ["profile", "maker"], "left").join(axes, ["profile", "item"], "left")
-    return kept.join(g.titles.select("item", "imdb_id"), "item", "left").join(texts, "imdb_id", "left").withColumn("popular", F.lit(0.0))
-
-
 @query("op_r07_hybrid_score", _SCORED + """SELECT profile, item, score, CASE WHEN greatest(l1, l2, l3, l4, l5) <= 0 THEN NULL WHEN l1 = greatest(l1, l2, l3, l4, l5) THEN 'near' WHEN l2 = greatest(l1, l2, l3, l4, l5) THEN 'loved'
   WHEN l3 = greatest(l1, l2, l3, l4, l5) THEN 'people' WHEN l4 = greatest(l1, l2, l3, l4, l5) THEN 'axes' ELSE 'playable' END AS reason FROM lift""")
 def hybrid_score(spark: SparkSession, folder: str) -> DataFrame:
     """Every candidate's score and why it stands out (R07; R16's relevance is its first terms)."""
-    g = _Gathered(spark, folder)
-    return D.hybrid_scores(_parts(spark, folder, g, materialize(g.pool(), "pool")))
+    return P.scored(*_Gathered(spark, folder).by_profile())
 
 
 @query("op_r08_rails")
@@ -128,15 +125,8 @@ def rails(spark: SparkSession, folder: str) -> DataFrame:
     """Diversified rails of ten for every profile from its sixty best candidates: two per franchise, five per year, and of each
     mode no more than its quota."""
     g = _Gathered(spark, folder)
-    best = top_per_key(D.hybrid_scores(_parts(spark, folder, g, materialize(g.pool(), "pool"))), ["profile"], [F.col("score").desc(), F.col("item")], 60)
-    quota = C.quotas(g.modes.select("profile", "mode", "w"), ["profile"], "mode", "w", 10).select(F.col("profile").alias("owner"), F.col("mode").alias("of"), F.col("places").alias("quota"))
-    own = table(spark, folder, "embeddings").dropDuplicates(["vec_id"])
-    facts = g.titles.select("item", "year", F.pmod("item", F.lit(max(own.count(), 1))).alias("vec_id")).join(own.select("vec_id", F.col("embedding").alias("vector"), F.col("label").alias("mode")), "vec_id")
-    pool = best.join(facts, "item").join(g.makers, "item", "left")
-    # the nth best of a mode beyond its quota waits: only as many of each mode as it has places come in
-    placed = pool.withColumn("n", F.row_number().over(Window.partitionBy("profile", "mode").orderBy("rank")))
-    inside = placed.join(quota, (F.col("profile") == F.col("owner")) & (F.col("mode") == F.col("of")), "left").filter(F.col("n") <= 3 * F.coalesce("quota", F.lit(1)))
-    return C.rail(inside.select("profile", "item", "score", "vector", F.col("maker").alias("franchise"), "year"), 10, {"franchise": 2, "year": 5})
+    places = C.quotas(g.modes, ["profile"], "mode", "w", P.RAIL)
+    return P.rails(*g.by_profile(places))
 
 
 @query("op_r18_gather", _BASE + "SELECT mode, count(*) AS titles, round(min(cos), 6) AS bound FROM inside GROUP BY 1")
@@ -155,34 +145,16 @@ st AS (SELECT profile, mode, item, region, CAST(row_number() OVER (PARTITION BY
 """
 
 
-def _stretch(g: _Gathered) -> DataFrame:
-    regions = materialize(g.regions(), "regions")
-    own = g.loved.join(g.mode_of, "item").join(g.modes.select("profile", "mode"), ["profile", "mode"])
-    taste = own.join(regions, "item").select("profile", "mode", "axis", "region").distinct()
-    known = g.inside.join(g.titles.filter(F.col("votes") >= KNOWN).select("item"), "item")
-    inside = g.modes.select("profile", "mode").join(known, "mode").join(g.loved.select("profile", "item"), ["profile", "item"], "left_anti")
-    out = D.outside_axes(inside.select("profile", "mode", "item"), regions, materialize(taste, "taste"))
-    return top_per_key(out.join(inside, ["profile", "mode", "item"]), ["profile", "mode"], [F.col("cos").desc(), F.col("item")], 10, "pos").select("profile", "mode", "item", "region", "pos")
-
-
 @query("op_r11_stretch", _STRETCH + "SELECT profile, mode, item, region, pos FROM st")
 def stretch(spark: SparkSession, folder: str) -> DataFrame:
     """Known titles close to a mode of a profile that leave it by decade or by genre alone."""
-    return _stretch(_Gathered(spark, folder))
+    return P.stretched(*_Gathered(spark, folder).by_profile())
 
 
 @query("op_r10_labels", _STRETCH + "SELECT count(*) AS labels, 0::BIGINT AS untrue FROM st")
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     """Every stretch label judged again from its definition: how many there are, and how many don't hold."""
-    g = _Gathered(spark, folder)
-    given = materialize(_stretch(g), "labels")
-    regions = g.regions()
-    close = given.join(g.inside.select("mode", "item", F.lit(True).alias("close")), ["mode", "item"], "left")
-    has = close.join(regions.select("item", "region", F.lit(True).alias("has")).distinct(), ["item", "region"], "left")
-    loved = g.loved.join(g.mode_of, "item").join(regions, "item").select("profile", "mode", "region", F.lit(True).alias("known")).distinct()
-    judged = has.join(loved, ["profile", "mode", "region"], "left").join(g.titles.select("item", "votes"), "item")
-    true = F.col("close") & F.col("has") & F.col("known").isNull() & (F.col("votes") >= KNOWN)
-    return judged.agg(F.count(F.lit(1)).alias("labels"), F.count(F.when(~F.coalesce(true, F.lit(False)), 1)).alias("untrue"))
+    return P.judged(*_Gathered(spark, folder).by_profile())
 
 
 @query("op_r12_bridge", _BASE + """, pr AS (SELECT a.mode AS one, b.mode AS two, count(*) AS bridges FROM inside a JOIN inside b ON a.item = b.item AND a.mode < b.mode GROUP BY 1, 2)
