@@ -1,6 +1,13 @@
 import duckdb
+import numpy as np
 import pytest
+from lumenframe.operators import profiles as P
+from lumenframe.operators import recommend as C
+from lumenframe.operators.relational import top_per_key
+from lumenframe.plans.discovery_queries import _Gathered
 from lumenframe.plans.registry import ORACLES, QUERIES
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +57,18 @@ def test_profiles_go_on_over_batches(spark, folder, batch):
         same_as_twin(QUERIES["op_r07_hybrid_score"](spark, folder), folder, "op_r07_hybrid_score")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_rails_choose_from_the_best_candidates(spark, folder):
+    """The same rails as from the candidates in a table of their own."""
+    g = _Gathered(spark, folder)
+    best = top_per_key(QUERIES["op_r07_hybrid_score"](spark, folder), ["profile"], [F.col("score").desc(), F.col("item")], 60)
+    own = g.vectors.select("vec_id", F.col("v").alias("vector"), "mode")
+    pool = best.join(g.titles.select("item", "year", F.pmod("item", F.lit(12)).alias("vec_id")).join(own, "vec_id"), "item").join(g.makers, "item", "left")
+    quota = C.quotas(g.modes, ["profile"], "mode", "w", 10).select("profile", "mode", "places")
+    nth = F.row_number().over(Window.partitionBy("profile", "mode").orderBy("rank"))
+    inside = pool.withColumn("n", nth).join(quota, ["profile", "mode"], "left").filter(F.col("n") <= 3 * F.coalesce("places", F.lit(1)))
+    want = C.rail(inside.select("profile", "item", "score", "vector", F.col("maker").alias("franchise"), "year"), 10, {"franchise": 2, "year": 5})
+    df = QUERIES["op_r08_rails"](spark, folder)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.select(*df.columns).collect()))
+    assert len(joins(df)) == 1  # of the quotas, a few rows a profile
