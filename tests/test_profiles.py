@@ -72,3 +72,9 @@ def test_rails_choose_from_the_best_candidates(spark, folder):
     df = QUERIES["op_r08_rails"](spark, folder)
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.select(*df.columns).collect()))
     assert len(joins(df)) == 1  # of the quotas, a few rows a profile
+
+
+def test_stretch_is_found_in_one_task_a_profile(spark, folder):
+    df = QUERIES["op_r11_stretch"](spark, folder)
+    same_as_twin(df, folder, "op_r11_stretch")
+    assert not joins(df)
