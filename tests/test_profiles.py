@@ -78,3 +78,22 @@ def test_stretch_is_found_in_one_task_a_profile(spark, folder):
     df = QUERIES["op_r11_stretch"](spark, folder)
     same_as_twin(df, folder, "op_r11_stretch")
     assert not joins(df)
+
+
+def test_labels_are_judged_where_they_are_made(spark, folder):
+    df = QUERIES["op_r10_labels"](spark, folder)
+    same_as_twin(df, folder, "op_r10_labels")
+    assert not joins(df)
+
+
+def test_untrue_labels_are_counted(spark, folder):
+    t = P._Titles(_Gathered(spark, folder).by_profile()[1])
+    loved = np.array([np.flatnonzero((t.mode == 0) & (t.decade < t.R))[0]])
+    none = np.zeros(0, int)
+    space = {"loved": np.zeros(t.n + 1, bool)}
+    own = P._Profile(t, space, (loved, np.ones(1)), (none, none, none), (np.array([0]), np.ones(1), np.ones(1, int)))
+    ((mode, given, regions),) = own.stretch(10)
+    assert len(given) and own.untrue(mode, given, regions) == 0
+    assert own.untrue(mode, given, np.repeat(t.decade[loved], len(given))) == len(given)  # a region of what was loved
+    t.known[given] = False
+    assert own.untrue(mode, given, regions) == len(given)
